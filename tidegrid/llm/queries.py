@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import chat_format, curriculum, decontaminate, line_dedup, sharding, simhash
+from tidegrid.llm import ann, chat_format, curriculum, decontaminate, licenses, line_dedup, quality, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(table.unionByName(extra)))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = toxicity.training_rows(docs, _table(spark, sf_dir, "labels"), toxicity.held_out)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), toxicity.fit(rows))
+    score = F.col("tox_score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size(F.filter("tox_sentences", lambda s: s["score"] >= 0.5)).alias("n_offending"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,9 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_chat_format": op2_chat_format,
+        "op3_licenses": op3_licenses,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_decontamination": op6_decontamination,
+        "op7_ann": op7_ann,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_line_dedup": op10_line_dedup,
     }
 
