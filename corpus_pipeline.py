@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import curriculum, decontaminate, sharding, simhash
+from tidegrid.llm import curriculum, decontaminate, sharding, simhash, toxicity
 from tidegrid.llm.common import cut
 
 
+def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose toxicity is THRESHOLD or more."""
+    rows = toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.held_out)
+    scored = toxicity.score_documents(docs, toxicity.fit(rows))
+    return scored.where(F.col("tox_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one."""
     groups = simhash.near_duplicates(docs)
@@ -35,6 +42,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", non_toxic),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
     ("mixing", mixing),
