@@ -1,11 +1,12 @@
-"""Arithmetic on values with uncertainty bands, as Column expressions.
+"""Arithmetic on values with uncertainty bands.
 
-A band is a struct<lo, hi>, edges are a struct<lb, le, rb, re>; both are null where there are none.
+Bands and the edges of the reads they come from are plain columns. Intermediate values are columns of their
+own, so that no expression is repeated in the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPERATORS = ("+", "-", "*", "/")
@@ -24,53 +25,52 @@ def apply(op: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown operator {op!r}")
 
 
-def band(lo: Column, hi: Column) -> Column:
-    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+def corners(op: str, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
+    """array<double> of ``op`` at the four corners of two bands; null where the result has no bounds."""
+    values = F.array(*[apply(op, x, y) for x in (a_lo, a_hi) for y in (b_lo, b_hi)])
+    return F.when(~((b_lo <= 0) & (b_hi >= 0)), values) if op == "/" else values
 
 
-def edges(lb: Column, le: Column, rb: Column, re: Column) -> Column:
-    return F.when(lb.isNotNull(), F.struct(lb.alias("lb"), le.alias("le"), rb.alias("rb"), re.alias("re")))
+def with_band(df: DataFrame, values: Column, has: Column) -> DataFrame:
+    """``df`` with lo and hi, the span of ``values`` where ``has``; null if any of them isn't finite."""
+    ok = F.forall("_span", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = df.withColumn("_span", F.when(has, values))
+    return df.withColumns({"lo": F.when(ok, F.array_min("_span")), "hi": F.when(ok, F.array_max("_span"))}).drop("_span")
 
 
-def _finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+def widened(df: DataFrame, lo: str, hi: str, v: str, lb: str, le: str, rb: str, re: str) -> DataFrame:
+    """``df`` with the rate band (lo, hi) as if read within the span u_lb, u_le, u_rb, u_re; never narrower.
 
-
-def combine(op: str, a: Column, b: Column) -> Column:
-    """The band of ``a op b`` for every value of both bands; null where that has no bounds."""
-    corners = [apply(op, x, y) for x in (a["lo"], a["hi"]) for y in (b["lo"], b["hi"])]
-    ok = _finite(corners[0]) & _finite(corners[1]) & _finite(corners[2]) & _finite(corners[3])
-    if op == "/":
-        ok = ok & ~((b["lo"] <= 0) & (b["hi"] >= 0))
-    return F.when(ok, F.struct(F.least(*corners).alias("lo"), F.greatest(*corners).alias("hi")))
-
-
-def widen(own_band: Column, own: Column, both: Column, v: Column) -> Column:
-    """A rate's band as if its reads had taken the span ``both`` rather than ``own``; never narrower."""
-    longest, shortest = own["re"] - own["lb"], own["rb"] - own["le"]
-    all_longest, all_shortest = both["re"] - both["lb"], both["rb"] - both["le"]
-    sound = (longest > 0) & (shortest > 0) & (all_longest > 0) & (all_shortest > 0)
-    lo = F.least(own_band["lo"], own_band["lo"] * F.try_divide(longest, all_longest), v)
-    hi = F.greatest(own_band["hi"], own_band["hi"] * F.try_divide(shortest, all_shortest), v)
-    return F.when(own_band.isNull(), None).when(sound, F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(own_band)
+    A rate's low bound is over the longest time that the read allows and its high bound over the shortest, so
+    both change by the ratio of these times. Only rows with ``_apart`` change.
+    """
+    longest, shortest = F.col(re) - F.col(lb), F.col(rb) - F.col(le)
+    all_longest, all_shortest = F.col("u_re") - F.col("u_lb"), F.col("u_rb") - F.col("u_le")
+    sound = F.col("_apart") & (longest > 0) & (shortest > 0) & (all_longest > 0) & (all_shortest > 0)
+    return df.withColumns(
+        {
+            lo: F.when(sound & F.col(lo).isNotNull(), F.least(lo, F.col(lo) * F.try_divide(longest, all_longest), v)).otherwise(F.col(lo)),
+            hi: F.when(sound & F.col(hi).isNotNull(), F.greatest(hi, F.col(hi) * F.try_divide(shortest, all_shortest), v)).otherwise(F.col(hi)),
+        }
+    )
 
 
-def combine_reads(op: str, v1: Column, b1: Column, e1: Column, v2: Column, b2: Column, e2: Column) -> tuple[Column, Column]:
-    """(band, edges) of ``v1 op v2``.
+def combine_reads(df: DataFrame, op: str) -> DataFrame:
+    """Bands and edges of ``v op r_v`` as lo, hi and e_*; the other side's columns start with r_.
 
     A value without a band is exact if the other has one. Values from different reads are first widened to
     the span of both reads; the result has edges only if both came from the same read.
     """
-    both = F.struct(
-        F.least(e1["lb"], e2["lb"]).alias("lb"),
-        F.greatest(e1["le"], e2["le"]).alias("le"),
-        F.least(e1["rb"], e2["rb"]).alias("rb"),
-        F.greatest(e1["re"], e2["re"]).alias("re"),
-    )
-    apart = e1.isNotNull() & e2.isNotNull() & (e1 != e2)
-    wide1 = F.when(apart, widen(b1, e1, both, v1)).otherwise(b1)
-    wide2 = F.when(apart, widen(b2, e2, both, v2)).otherwise(b2)
-    exact1 = F.struct(v1.alias("lo"), v1.alias("hi"))
-    exact2 = F.struct(v2.alias("lo"), v2.alias("hi"))
-    out = combine(op, F.coalesce(wide1, exact1), F.coalesce(wide2, exact2))
-    return F.when(b1.isNotNull() | b2.isNotNull(), out), F.when(e1.eqNullSafe(e2), e1)
+    names = ("lb", "le", "rb", "re")
+    equal = F.lit(True)
+    for n in names:
+        equal = equal & F.col(f"e_{n}").eqNullSafe(F.col(f"r_e_{n}"))
+    df = df.withColumn("_equal", equal)
+    span = {f"u_{n}": (F.least if n in ("lb", "rb") else F.greatest)(f"e_{n}", f"r_e_{n}") for n in names}
+    apart = F.col("e_lb").isNotNull() & F.col("r_e_lb").isNotNull() & ~F.col("_equal")
+    df = df.withColumns(span | {"_apart": apart, "_banded": F.col("lo").isNotNull() | F.col("r_lo").isNotNull()})
+    for p in ("", "r_"):
+        df = widened(df, f"{p}lo", f"{p}hi", f"{p}v", *[f"{p}e_{n}" for n in names])
+    side = lambda p: (F.coalesce(f"{p}lo", f"{p}v"), F.coalesce(f"{p}hi", f"{p}v"))
+    df = with_band(df, corners(op, *side(""), *side("r_")), F.col("_banded"))
+    return df.withColumns({f"e_{n}": F.when(F.col("_equal"), F.col(f"e_{n}")) for n in names})

@@ -12,13 +12,12 @@ from tidegrid.functions import uncertainty as U
 
 def scalar(points: DataFrame, op: str, number: float, number_first: bool = False) -> DataFrame:
     """``points op number`` (or ``number op points``). A division by zero drops the point."""
-    df = as_points(points)
-    x, own = F.lit(float(number)), U.band(F.col("lo"), F.col("hi"))
-    exact = F.struct(x.alias("lo"), x.alias("hi"))
+    df, x = as_points(points), F.lit(float(number))
+    own, exact = (F.col("lo"), F.col("hi")), (x, x)
     v = U.apply(op, x, F.col("v")) if number_first else U.apply(op, F.col("v"), x)
-    band = U.combine(op, exact, own) if number_first else U.combine(op, own, exact)
-    out = df.withColumns({"_v": v, "_b": F.when(own.isNotNull(), band)})
-    return as_points(out.withColumns({"v": F.col("_v"), "lo": F.col("_b.lo"), "hi": F.col("_b.hi")}).where("v is not null"))
+    ends = U.corners(op, *exact, *own) if number_first else U.corners(op, *own, *exact)
+    out = U.with_band(df.withColumn("_v", v), ends, F.col("lo").isNotNull())
+    return as_points(out.withColumn("v", F.col("_v")).where("v is not null"))
 
 
 def numbers(op: str, a: float, b: float) -> float:
@@ -32,11 +31,6 @@ def _match_key(labels: Column, on: list[str] | None, ignoring: list[str] | None)
     return L.canonical(L.keep(labels, on) if on is not None else L.drop(labels, ignoring or []))
 
 
-def _side(points: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    df = as_points(points)
-    return df, df.groupBy("series").agg(F.first("labels").alias("labels")).withColumn("key", key)
-
-
 def series(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = None, ignoring: list[str] | None = None) -> DataFrame:
     """``left op right``: every left series with the right series of equal key, at equal times.
 
@@ -44,28 +38,29 @@ def series(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = No
     a key; of several right series with a key the last does. With neither list, a single right series that
     found no partner is paired with all left series that found none. Left labels are kept.
 
-    Partners are found between the series, a row each; the points are then joined on series and time.
+    Both sides are dealt by key in one shuffle, in which partners are chosen and met at equal times.
     """
     if on is not None and ignoring is not None:
         raise ValueError("either on or ignoring")
     key = _match_key(F.col("labels"), on, ignoring)
-    lp, ls = _side(left, key)
-    rp, rs = _side(right, key)
+    sides = [as_points(df).withColumns({"key": key, "side": F.lit(i)}) for i, df in enumerate((left, right))]
     by_key = Window.partitionBy("key")
-    ls = ls.withColumn("_first", F.row_number().over(by_key.orderBy("series")) == 1).select(F.col("series").alias("l"), "key", "_first")
-    rs = rs.withColumn("_r", F.row_number().over(by_key.orderBy(F.desc("series")))).where("_r = 1").select(F.col("series").alias("r"), "key")
-    met = ls.join(rs.withColumn("_yes", F.lit(True)), "key", "left")
-    pairs = met.where(F.col("_first") & F.col("r").isNotNull()).select("l", "r")
+    lefts, rights = F.min(F.when(F.col("side") == 0, F.col("series"))), F.max(F.when(F.col("side") == 1, F.col("series")))
+    dealt = sides[0].unionByName(sides[1]).withColumns({"_l": lefts.over(by_key), "_r": rights.over(by_key)})
+    ours, theirs = F.col("side") == 0, (F.col("side") == 1) & (F.col("series") == F.col("_r"))
+    first = ours & (F.col("series") == F.col("_l"))
+    values = ["v", *BAND, *EDGES]
+    held = F.struct("series", "labels", *values)
+    met = dealt.where(F.col("_r").isNotNull() & (first | theirs)).groupBy("key", "t").agg(
+        F.first(F.when(ours, held), ignorenulls=True).alias("_a"), F.first(F.when(~ours, F.struct(*values)), ignorenulls=True).alias("_b")
+    )
+    met = met.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    both = met.select("t", "_a.*", *[F.col(f"_b.{c}").alias(f"r_{c}") for c in values])
     if on is None and ignoring is None:
-        over = rs.join(ls.select("key").distinct(), "key", "left_anti")
-        only = over.agg(F.count(F.lit(1)).alias("_n"), F.min("r").alias("r")).where("_n = 1").select("r", F.lit(1).alias("_one"))
-        alone = met.where(~F.col("_first") | F.col("r").isNull()).select("l", F.lit(1).alias("_one"))
-        pairs = pairs.unionByName(alone.join(F.broadcast(only), "_one").select("l", "r"))
-    theirs = rp.select(F.col("series").alias("r"), "t", *[F.col(c).alias(f"r_{c}") for c in ("v", *BAND, *EDGES)])
-    both = lp.join(pairs, lp["series"] == pairs["l"]).drop("l").join(theirs, ["r", "t"])
-    own = U.band(F.col("lo"), F.col("hi")), U.edges(*[F.col(c) for c in EDGES])
-    other = U.band(F.col("r_lo"), F.col("r_hi")), U.edges(*[F.col(f"r_{c}") for c in EDGES])
-    band, edges = U.combine_reads(op, F.col("v"), *own, F.col("r_v"), *other)
-    out = both.withColumns({"_v": U.apply(op, F.col("v"), F.col("r_v")), "_b": band, "_e": edges}).where("_v is not null")
-    new = {"v": F.col("_v"), "lo": F.col("_b.lo"), "hi": F.col("_b.hi")}
-    return as_points(out.withColumns(new | {e: F.col(f"_e.{e[2:]}") for e in EDGES}))
+        over = dealt.where(theirs & F.col("_l").isNull())
+        only = over.agg(F.min("key").alias("_k0"), F.max("key").alias("_k1")).where("_k0 = _k1").select("_k0")
+        single = over.join(F.broadcast(only), F.col("key") == F.col("_k0")).select("t", *[F.col(c).alias(f"r_{c}") for c in values])
+        alone = dealt.where(ours & (F.col("_r").isNull() | ~first)).select("t", "series", "labels", *values)
+        both = both.unionByName(alone.join(single, "t"))
+    out = both.withColumn("_v", U.apply(op, F.col("v"), F.col("r_v"))).where("_v is not null")
+    return as_points(U.combine_reads(out, op).withColumn("v", F.col("_v")))

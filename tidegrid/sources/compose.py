@@ -44,6 +44,8 @@ def spliced(*tables: DataFrame) -> DataFrame:
     per = Window.partitionBy("kind", "metric", "series")
     whole = F.min(F.col("w_begin").isNotNull()).over(per)
     out = out.withColumns({c: F.when(whole, F.col(c)) for c in ("w_begin", "w_end")})
+    if "p" not in out.columns:  # counters and gauges alone
+        return out
     layout = out.where("kind = 'histogram'").groupBy("metric", "p", "n").agg(F.min(FILE).alias("_since"))
     by = Window.partitionBy("metric").orderBy("_since", "p", "n")
     runs = layout.select("metric", "p", "n", (F.row_number().over(by) - 1).alias("_run"), F.count("p").over(Window.partitionBy("metric")).alias("_runs"))
