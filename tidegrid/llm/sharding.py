@@ -35,27 +35,33 @@ def _grant(loads: list[int], wanted: dict[tuple[int, int], int], capacity: int)
             inward = sum(v for (_, b), v in allowed.items() if b == t)
             outward = sum(v for (a, _), v in allowed.items() if a == t)
             room = capacity - load + outward
-            if inward > room + 0.5:
+            if inward > max(room, 0) + 0.5:
                 scale = max(0.0, room) / inward
                 allowed = {(a, b): v * scale if b == t else v for (a, b), v in allowed.items()}
                 changed = True
         if not changed:
             break
-    return {k: int(v) for k, v in allowed.items() if v >= 1}
+    whole = {k: int(v) for k, v in allowed.items()}
+    for t in range(len(loads)):  # what rounding left over, to the largest fractions
+        cells = sorted((k for k in allowed if k[1] == t), key=lambda k: (whole[k] - allowed[k], k))
+        spare = int(sum(allowed[k] for k in cells) + 1e-6) - sum(whole[k] for k in cells)
+        for k in cells[:spare]:
+            whole[k] += 1
+    return {k: v for k, v in whole.items() if v}
 
 
-def _preferred(votes: Column, anchor: Column, n_shards: int) -> Column:
-    """The shard with most votes; ties go to the same shard for all members of a group."""
+def _preferred(votes: Column, anchor: Column, n_shards: int, full: set[int]) -> Column:
+    """The shard with most votes, a full one only for those in it; ties go to the same shard for a whole group."""
     ranked = F.array(
         *[
-            F.struct(votes[s].alias("v"), F.xxhash64(anchor, F.lit(s)).alias("h"), F.lit(s).alias("s"))
+            F.struct((F.when(F.col("shard") == s, votes[s]).otherwise(-1.0) if s in full else votes[s]).alias("v"), F.xxhash64(anchor, F.lit(s)).alias("h"), F.lit(s).alias("s"))
             for s in range(n_shards)
         ]
     )
     return F.array_max(ranked)["s"]
 
 
-def propose(members: DataFrame, n_shards: int) -> DataFrame:
+def propose(members: DataFrame, n_shards: int, full: set[int] = frozenset()) -> DataFrame:
     """(rid, shard, anchor, target) of the documents that have neighbours; members: (rid, shard, link)."""
     counts = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"c{s}") for s in range(n_shards)]
     hubs = members.groupBy("link").agg(F.count(F.lit(1)).alias("total"), *counts).where("total > 1")
@@ -63,7 +69,7 @@ def propose(members: DataFrame, n_shards: int) -> DataFrame:
     scored = members.join(hubs, "link").groupBy("rid", "shard").agg(F.min("link").alias("anchor"), *shares)
     votes = F.array(*[F.round(F.col(f"v{s}"), 9) for s in range(n_shards)])
     return scored.withColumn("_votes", votes).select(
-        "rid", "shard", "anchor", _preferred(F.col("_votes"), F.col("anchor"), n_shards).alias("target")
+        "rid", "shard", "anchor", _preferred(F.col("_votes"), F.col("anchor"), n_shards, full).alias("target")
     )
 
 
@@ -89,7 +95,7 @@ def _move(proposals: DataFrame, quotas: dict[tuple[int, int], int]) -> DataFrame
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 8, links: list[Column] | None = None, rounds: int = 3, id_col: str = "doc_id"
+    docs: DataFrame, n_shards: int = 8, links: list[Column] | None = None, rounds: int = 4, id_col: str = "doc_id"
 ) -> DataFrame:
     """Deal ``docs`` into ``n_shards`` whose row counts differ by one at most, cutting few links.
 
@@ -97,7 +103,7 @@ def shard_documents(
     each shard), grown_shard (null: the law isn't 'key') and cut (whether most of its group is elsewhere).
 
     links: expressions of text keys; documents with an equal key are linked (null: no link by this key).
-    By default the exact text. A group larger than a shard is spread over several. Null texts: size 1,
+    By default the exact text. A group larger than a shard fills several, one after the other. Null texts: size 1,
     checksum 0, no link. Repeated rows are separate documents. An empty table gives an empty result. Other
     columns are ignored, whatever their names.
     """
@@ -121,15 +127,18 @@ def shard_documents(
     hubs = member.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link")
     linked = cut(member.join(hubs, "link"), "shard-links")  # only keys that link something
 
-    labels = None
+    labels, full = None, set()
     for _ in range(rounds):
         members = linked if labels is None else linked.drop("shard").join(labels.select("rid", "shard"), "rid")
-        proposals = cut(propose(members, n_shards), "shard-proposals")
+        proposals = cut(propose(members, n_shards, full), "shard-proposals")
         cells = proposals.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()
         loads = [sum(r["n"] for r in cells if r["shard"] == s) for s in range(n_shards)]
         wanted = {(r["shard"], r["target"]): r["n"] for r in cells if r["shard"] != r["target"]}
         quotas = _grant(loads, wanted, n // n_shards)
         labels = cut(_move(proposals, quotas).join(proposals.select("rid", "target"), "rid"), "shard-labels")
+        for (a, b), moved in quotas.items():
+            loads[a], loads[b] = loads[a] - moved, loads[b] + moved
+        full = {s for s in range(n_shards) if loads[s] >= n // n_shards}
         if not quotas:
             break
 
