@@ -3,7 +3,7 @@
 All word k-grams of a text are rolled over; those that consist of template words go on with their hash. A
 Spark join brings each to the template positions with that hash, and its diagonal, the place in the text less
 the place in the template, gets a vote. Neighbouring diagonals, as left by words put in or left out, are
-merged, and a merged diagonal is a license span if its grams, compared as text, cover enough of the template.
+merged, and a merged diagonal is a license span if its grams, compared as text, cover enough of the template's words.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ TEMPLATES = [
 GRAM = 5
 #: Diagonals that differ by so many words at most are merged.
 DRIFT = 3
-#: Share of a template's grams that a license span has.
+#: Share of a template's words that a license span's grams cover.
 COVERAGE = 0.8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -104,18 +104,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, D
     places = spark.createDataFrame(rows, "template int, label string, base boolean, place int, k int, h long, gram string, grams int")
     grams = texts.select("rid", F.explode("grams").alias("_g")).select("rid", "_g.*")
     votes = grams.join(F.broadcast(places), ["h", "gram"]).withColumn("diagonal", F.col("at") - F.col("place"))
-    lines = votes.groupBy("rid", "template", "label", "base", "grams", "diagonal").agg(
+    lines = votes.groupBy("rid", "template", "label", "base", "grams", "k", "diagonal").agg(
         F.min("at").alias("first"), F.max(F.col("at") + F.col("k") - 1).alias("last"), F.collect_set("place").alias("places")
     )
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.col("diagonal") - DRIFT - 1) > DRIFT)
     merged = lines.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order))
-    spans = merged.groupBy("rid", "template", "label", "base", "grams", "_run").agg(
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("_found"),
+    spans = merged.groupBy("rid", "template", "label", "base", "grams", "k", "_run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_list("places")).alias("places")
     )
-    coverage = F.col("_found") / F.col("grams")
+    covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))
+    coverage = F.size(F.array_distinct(covered)) / (F.col("grams") + F.col("k") - 1)
     spans = spans.select("rid", "label", "base", "first", "last", coverage.alias("coverage"), (coverage >= COVERAGE).alias("verified"))
     return texts.drop("grams"), spans
 
