@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 #: The most labelled documents that are trained on, chosen by the hash of their ids.
 TRAIN_DOCS = 20_000
 #: The most words that a model has, the distinct toxic sentences that each needs, and its least z score.
-MAX_WORDS, MIN_SENTENCES, MIN_Z = 4_096, 5, 4.0
+MAX_WORDS, MIN_SENTENCES, MIN_Z = 1_024, 5, 4.0
 STEPS, RATE, DECAY = 400, 0.1, 0.1
 THRESHOLD = 0.7
 
@@ -57,26 +58,26 @@ class Model:
         return 1 - none, found
 
 
-def _sentences(only: frozenset[str] | None):
-    """Rows (sentence's hash, its words): all, or those in ``only``."""
+def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (sentence's hash, its words)."""
+    for batch in batches:
+        ids, words = [], []
+        for text in batch["text"]:
+            for m in SENTENCE.finditer(_lower(text)):
+                ids.append(xxhash.xxh64_intdigest(m[0].strip().encode()) >> 1)
+                words.append(sorted(set(WORD.findall(m[0]))))
+        yield pd.DataFrame({"id": ids, "words": words})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, words = [], []
-            for text in batch["text"]:
-                for m in SENTENCE.finditer(_lower(text)):
-                    got = set(WORD.findall(m[0]))
-                    ids.append(xxhash.xxh64_intdigest(m[0].strip().encode()) >> 1)
-                    words.append(sorted(got if only is None else got & only))
-            yield pd.DataFrame({"id": ids, "words": words})
-
-    return run
 
+def _counted(rows: DataFrame, name: str, only: DataFrame | None = None) -> DataFrame:
+    """(word, ``name``): in how many distinct sentences of ``rows`` each word is; copies count once.
 
-def _counted(rows: DataFrame, name: str, only: frozenset[str] | None = None) -> DataFrame:
-    """(word, ``name``): in how many distinct sentences of ``rows`` each word is; copies count once."""
-    each = rows.select("text").mapInPandas(_sentences(only), "id long, words array<string>")
-    return each.select("id", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias(name))
+    ``only``: the words to count, fewer than TRAIN_DOCS documents hold.
+    """
+    each = rows.select("text").mapInPandas(_sentences, "id long, words array<string>").select("id", F.explode("words").alias("word"))
+    if only is not None:
+        each = each.join(F.broadcast(only), "word", "left_semi")
+    return each.distinct().groupBy("word").agg(F.count(F.lit(1)).alias(name))
 
 
 def _bags(chosen: dict[str, int]):
@@ -86,13 +87,13 @@ def _bags(chosen: dict[str, int]):
             for text in batch["text"]:
                 each = (set(WORD.findall(m[0])) & chosen.keys() for m in SENTENCE.finditer(_lower(text)))
                 rows.append([sorted(chosen[w] for w in s) for s in each if s])
-            yield pd.DataFrame({"toxic": batch["toxic"], "bags": rows})
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "bags": rows})
 
     return bags
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
-    """(text, toxic) of at most TRAIN_DOCS labelled documents, those that ``held_out`` names left out.
+    """(id, text, toxic) of at most TRAIN_DOCS labelled documents, those that ``held_out`` names left out.
 
     A document with contradictory labels counts as toxic; rows without a doc_id or a label don't count.
     """
@@ -101,11 +102,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFram
     if held_out is not None:
         known = known.where(~held_out(F.col("_id")))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("id"), "text", "toxic")
 
 
 def fit(rows: DataFrame) -> Model:
-    """A model of (text, toxic). Without rows of both labels it scores every text alike."""
+    """A model of (id, text, toxic). Without rows of both labels it scores every text alike."""
     rows = rows.persist()
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -113,46 +114,41 @@ def fit(rows: DataFrame) -> Model:
     if not n1 or not n0:
         rows.unpersist()
         return Model({}, 0.0, leak)
-    toxic = _counted(rows.where("toxic = 1"), "a").where(F.col("a") >= MIN_SENTENCES)
-    toxic = {r["word"]: r["a"] for r in toxic.orderBy(F.desc("a"), "word").limit(16 * MAX_WORDS).collect()}
-    clean = _counted(rows.where("toxic = 0"), "b", frozenset(toxic))
-    clean = {r["word"]: r["b"] for r in clean.collect()}  # no more than ``toxic``
-    scored = sorted((-_z(a, clean.get(w, 0), n1, n0), w) for w, a in toxic.items())
-    chosen = [w for z, w in scored if -z >= MIN_Z][:MAX_WORDS]
+    words = _counted(rows.where("toxic = 1"), "a").where(F.col("a") >= MIN_SENTENCES)
+    clean = _counted(rows.where("toxic = 0"), "b", words.select("word"))
+    b = F.coalesce("b", F.lit(0)) + 1  # so that a word in no clean sentence isn't certain
+    pooled = F.least((F.col("a") + b) / (n1 + n0), F.lit(0.5))
+    z = (F.col("a") / n1 - b / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    ranked = words.join(clean, "word", "left").select("word", z.alias("z")).where(F.col("z") >= MIN_Z)
+    chosen = [r["word"] for r in ranked.orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()]
     index = {w: i for i, w in enumerate(chosen)}
-    data = rows.mapInPandas(_bags(index), "toxic int, bags array<array<int>>").groupBy("toxic", "bags")
-    data = data.agg(F.count(F.lit(1)).alias("n")).collect()  # TRAIN_DOCS rows at most, of a few words each
+    bags = rows.mapInPandas(_bags(index), "id long, toxic int, bags array<array<int>>")
+    data = bags.toArrow().sort_by("id")  # TRAIN_DOCS rows at most, of a few words each
     rows.unpersist()
     return _ascend(chosen, data, leak)
 
 
-def _z(a: int, b: int, n1: int, n0: int) -> float:
-    """How far a toxic documents' rate a / n1 is above the clean ones' b / n0, in standard errors; one clean one is added."""
-    p = (a + b + 1) / (n1 + n0)
-    return (a / n1 - (b + 1) / n0) / (min(p, 0.5) * (1 - min(p, 0.5)) * (1 / n1 + 1 / n0)) ** 0.5
-
-
-def _ascend(chosen: list[str], data: list, leak: float) -> Model:
+def _ascend(chosen: list[str], data: pa.Table, leak: float) -> Model:
     """Gradient ascent (Adam) on the noisy-or likelihood of the documents' labels."""
-    data = sorted(data, key=lambda r: (r["toxic"], r["bags"]))
-    label = np.array([r["toxic"] for r in data], float)
-    times = np.array([r["n"] for r in data], float)
-    bags = [(d, bag) for d, r in enumerate(data) for bag in r["bags"]]
-    doc = np.array([d for d, _ in bags], np.int64)
-    bag_of = np.array([i for i, (_, bag) in enumerate(bags) for _ in bag], np.int64)
-    word_of = np.array([w for _, bag in bags for w in bag], np.int64)
+    label = data["toxic"].combine_chunks().to_numpy()
+    per_doc = data["bags"].combine_chunks()
+    doc = np.repeat(np.arange(len(label)), per_doc.value_lengths().to_numpy(zero_copy_only=False))
+    per_bag = per_doc.flatten()
+    bag_of = np.repeat(np.arange(len(per_bag)), per_bag.value_lengths().to_numpy(zero_copy_only=False))
+    word_of = per_bag.flatten().to_numpy()
+    n, m_bags = len(label), len(per_bag)
     theta = np.zeros(len(chosen) + 2)  # weights, bias, logit of the leak
     theta[-2], theta[-1] = -1.0, np.log(leak / (1 - leak))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        x = theta[-2] + np.bincount(bag_of, theta[word_of], len(bags))
+        x = theta[-2] + np.bincount(bag_of, theta[word_of], m_bags)
         p, q = 1 / (1 + np.exp(-x)), 1 / (1 + np.exp(-theta[-1]))
-        none = np.log1p(-q) + np.bincount(doc, -np.logaddexp(0, x), len(data))  # log of no toxic sentence
+        none = np.log1p(-q) + np.bincount(doc, -np.logaddexp(0, x), n)  # log of no toxic sentence
         some = np.maximum(-np.expm1(none), 1e-9)
-        pull = times * np.where(label == 1, np.exp(none) / some, -1.0)  # d likelihood / d(-none)
+        pull = np.where(label == 1, np.exp(none) / some, -1.0)  # d likelihood / d(-none)
         gb = pull[doc] * p
-        g = np.concatenate([np.bincount(word_of, gb[bag_of], len(chosen)), [gb.sum(), (pull * q).sum()]]) / times.sum()
-        g[:-2] -= DECAY / len(data) * theta[:-2]
+        g = np.concatenate([np.bincount(word_of, gb[bag_of], len(chosen)), [gb.sum(), (pull * q).sum()]]) / n
+        g[:-2] -= DECAY / n * theta[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     weights = {w: float(t) for w, t in zip(chosen, theta[:-2]) if t > 0}
