@@ -173,7 +173,11 @@ def write_wide(rows: DataFrame, path: str, interval_ms: int = 1000) -> None:
     named = rows.withColumn("column", F.concat_ws("/", "metric", "series"))
     about = named.select("column", "metric", "kind", "labels").dropDuplicates(["column"]).collect()  # a row per column
     wide = named.groupBy(F.col("raw_t").alias("timestamp")).pivot("column", sorted(r["column"] for r in about)).agg(F.first("v"))
-    for r in about:
-        meta = dict(r["labels"]) | {"metric": r["metric"], "metric_type": r["kind"], "sampling_interval_ms": str(interval_ms)}
-        wide = wide.withMetadata(r["column"], meta)
+    named = [
+        _quoted(r["column"]).alias(
+            r["column"], metadata=dict(r["labels"]) | {"metric": r["metric"], "metric_type": r["kind"], "sampling_interval_ms": str(interval_ms)}
+        )
+        for r in about
+    ]
+    wide = wide.select("timestamp", *named)
     wide.orderBy("timestamp").write.mode("overwrite").parquet(path)
