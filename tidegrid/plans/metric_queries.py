@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from tidegrid.functions import labels as L
 from tidegrid.operators import aggregate, binary, counters, display, gauges, histogram
 from tidegrid.plans import projections as P
 from tidegrid.sources import compose, exposition, schema
+from tidegrid.streaming import live
 
 HOUR = 3600 * SECOND
 STEP = 6 * HOUR
@@ -316,3 +319,17 @@ _add(
     f"""WITH x AS (SELECT k, max(t) AS t, max_by(v, t) AS v FROM ({TOTAL}) GROUP BY k)
 SELECT 'events_total' AS metric, 'events_total{{event_type="' || k || '"}} ' || v || ' ' || t // 1000000 AS line FROM x UNION ALL SELECT 'events_total', '# TYPE events_total counter'""",
 )
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The rate at which event ids grow by type, from a stream over the table."""
+    shape = s.read.parquet(f"{d}/events.parquet").schema
+    events = s.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(d)
+    samples = events.select(F.col("event_type").alias("series"), P.nanos("ts").alias("t"), F.col("event_id").alias("v"))
+    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return live.run_through(live.grid_rate(samples, STEP), f"{folder}/stream-{uuid.uuid4().hex}").select(F.col("series").alias("event_type"), "t", (F.round("v", 6) + 0.0).alias("v"))
+
+
+_IDS = f"SELECT event_type AS k, {NS} AS t, event_id AS v FROM events"
+_ALL = (1_704_067_200 * SECOND, 1_706_745_600 * SECOND)
+_add("stream_rate_batch_equiv", _streamed, f"WITH {rate_sql(_IDS, 'r', STEP, *_ALL)} SELECT k AS event_type, t, {near_sql('v')} FROM r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegrid.functions import labels as L
@@ -34,14 +34,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", nanos("ts").alias("t"))
 
 
-_BY_TYPE = Window.partitionBy("event_type").orderBy("t", "event_id")
+def _by_type() -> WindowSpec:
+    return Window.partitionBy("event_type").orderBy("t", "event_id")
 
 
 def events_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter of events by type, with the window in which each was read."""
     begin = F.col("t") - F.col("event_id") % 7 * 1_000_000
     e = _events(spark, sf_dir).select(
-        _labels("event_type").alias("labels"), "t", F.row_number().over(_BY_TYPE).alias("v"),
+        _labels("event_type").alias("labels"), "t", F.row_number().over(_by_type()).alias("v"),
         begin.alias("w_begin"), (begin + (F.col("event_id") % 5 + 1) * 1_000_000).alias("w_end"),
     )
     return _long(e, "counter", "events_total")
@@ -49,13 +50,13 @@ def events_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapped_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counter, starting anew every 50 events."""
-    e = _events(spark, sf_dir).select(_labels("event_type").alias("labels"), "t", (F.row_number().over(_BY_TYPE) % 50).alias("v"))
+    e = _events(spark, sf_dir).select(_labels("event_type").alias("labels"), "t", (F.row_number().over(_by_type()) % 50).alias("v"))
     return _long(e, "counter", "events_wrapped_total")
 
 
 def revenue_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter of cents by type."""
-    cents = F.sum(F.round(F.col("value") * 100).cast("long")).over(_BY_TYPE.rowsBetween(Window.unboundedPreceding, 0))
+    cents = F.sum(F.round(F.col("value") * 100).cast("long")).over(_by_type().rowsBetween(Window.unboundedPreceding, 0))
     e = _events(spark, sf_dir).select(_labels("event_type").alias("labels"), "t", cents.alias("v"))
     return _long(e, "counter", "revenue_cents_total")
 

@@ -75,3 +75,10 @@ def windowed_mean(stream: DataFrame, width_seconds: int, late_seconds: int) -> D
     timed = stream.withColumn("at", at).withWatermark("at", f"{late_seconds} seconds")
     means = timed.groupBy("series", F.window("at", f"{width_seconds} seconds").alias("_w")).agg(F.avg("v").alias("v"))
     return means.select("series", F.col("_w.start").alias("start"), "v")
+
+
+def run_through(rates: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all that is there, into a new folder ``path``, and read the result."""
+    query = rates.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rates.sparkSession.read.schema(rates.schema).parquet(f"{path}/out")
