@@ -50,6 +50,14 @@ def test_rate_between_off_grid_samples(spark):
     assert got(counters.raw_rate(phase, 0, 6 * S)) == [(i + 0.374, 100.0) for i in range(1, 6)]
 
 
+def test_samples_of_one_time(spark):
+    c = samples(spark, [({}, [(0, 0), (1, 10), (1, 30), (2, 40)])])
+    # The tick at 1 is met by the first sample there; later ticks go on from the last.
+    assert got(counters.rate(c.withColumn("raw_t", F.col("t") + F.col("v")), S, 0, 3 * S)) == [(1, 10.0), (2, 30.0)]
+    two = samples(spark, [({}, [(1, 5), (1, 7), (2, 17)])])
+    assert got(counters.rate(two.withColumn("raw_t", F.col("t") + F.col("v")), S, 0, 3 * S)) == [(2, 12.0)]
+
+
 def test_rate_band(spark):
     c = samples(spark, [({}, [(1, 0, 1.00, 1.02), (2, 100, 1.98, 2.00), (3, 200, 2.98, 3.00)])])
     out = counters.rate(c, S, 2 * S, 2 * S, S)

@@ -24,8 +24,9 @@ def cumulative(samples: DataFrame) -> DataFrame:
 def on_ticks(samples: DataFrame, columns: list[str], step: int, start: int, end: int) -> DataFrame:
     """series, labels, k and ``columns`` interpolated at each tick k * step from start to end.
 
-    Only ticks within the observed range have a row, so a series' rows have consecutive k. Each sample owns
-    the ticks up to its successor; one pass over the ordered samples makes them all.
+    Only ticks within the observed range have a row, so a series' rows have consecutive k; a series of one
+    sample has none. Each sample owns the ticks behind it up to its successor, and the first its own time too,
+    so one pass over the ordered samples makes them all.
     """
     w = Window.partitionBy("series").orderBy(*_ORDER)
     ahead = samples.select(
@@ -36,17 +37,17 @@ def on_ticks(samples: DataFrame, columns: list[str], step: int, start: int, end:
         F.lead("t").over(w).alias("_t2"),
         *columns,
         *[F.lead(c).over(w).alias(f"_{c}2") for c in columns],
-    )
-    low, high = start // step, end // step
-    after = F.greatest(F.expr(f"t div {step}") + 1, F.lit(low))
-    until = F.least(F.expr(f"_t2 div {step}"), F.lit(high))
-    between = ahead.where(F.col("_t2").isNotNull() & (after <= until)).select("*", F.explode(F.sequence(after, until)).alias("k"))
+    ).where(F.col("_t2").isNotNull())
+    behind = F.when((F.col("_i") == 1) & (F.pmod("t", F.lit(step)) == 0), 0).otherwise(1)
+    after = F.greatest(F.expr(f"t div {step}") + behind, F.lit(start // step))
+    until = F.least(F.expr(f"_t2 div {step}"), F.lit(end // step))
+    ticks = ahead.where(after <= until).select("*", F.explode(F.sequence(after, until)).alias("k"))
     at = F.col("k") * step
-    share = (at - F.col("t")) / (F.col("_t2") - F.col("t"))
-    value = lambda c: F.when(at == F.col("_t2"), F.col(f"_{c}2").cast("double")).otherwise(F.col(c) + share * (F.col(f"_{c}2") - F.col(c)))
-    first = ahead.where((F.col("_i") == 1) & (F.pmod("t", F.lit(step)) == 0) & F.col("t").between(low * step, high * step))
-    first = first.select("series", "labels", F.expr(f"t div {step}").alias("k"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return between.select("series", "labels", "k", *[value(c).alias(c) for c in columns]).unionByName(first)
+    share = F.try_divide(at - F.col("t"), F.col("_t2") - F.col("t"))
+    between = lambda c: F.col(c) + share * (F.col(f"_{c}2") - F.col(c))
+    exact = lambda c: F.when(at == F.col("t"), F.col(c).cast("double")).when(at == F.col("_t2"), F.col(f"_{c}2").cast("double"))
+    value = lambda c: exact(c).otherwise(between(c))
+    return ticks.select("series", "labels", "k", *[value(c).alias(c) for c in columns])
 
 
 def rate(samples: DataFrame, step: int, start: int, end: int, range_ns: int = 0) -> DataFrame:
