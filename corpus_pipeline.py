@@ -17,17 +17,23 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one."""
+    """Keep the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one.
+
+    Documents without a doc_id can't be told from each other's groups; of equal ones, one stays.
+    """
     groups = simhash.near_duplicates(docs)
     first = groups.select(F.col("component_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where(F.col("doc_id").isNotNull())
+    # One shuffle of the texts, by doc_id, serves the join and the repeated rows.
+    kept = known.join(first, known["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop every document that holds a window of a benchmark item."""
     found, _ = decontaminate.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = cut(found.select(F.col("doc_id").alias("_id"), F.col("_h")).distinct(), "decon-bad")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text")) == F.col("_h"))
+    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_h"])
     return docs.join(bad, same, "left_anti")
 
 
