@@ -156,11 +156,15 @@ def heatmap(hist: DataFrame, p: int, start: int, end: int, stride: int | None =
 def from_values(values: DataFrame, p: int, labels: Column) -> DataFrame:
     """histograms of (t, value): the events up to each tick of a series, by bucket.
 
-    Each tick's row holds the series' buckets so far; a row is written where the series has events.
+    Each tick's row holds the series' buckets so far; a row is written where the series has events. A bucket's
+    count is put out at every tick from one change to the next, so rows made are the buckets written.
     """
     keyed = values.select(L.canonical(labels).alias("series"), labels.alias("labels"), "t", h2.bucket_index(F.col("value"), p).alias("idx"))
     per = keyed.groupBy("series", "t", "idx").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"))
-    ticks = keyed.select("series", "labels", "t").dropDuplicates(["series", "t"])
-    spans = per.select("series", "idx", "t", F.sum("n").over(Window.partitionBy("series", "idx").orderBy("t")).alias("cnt"), F.lead("t").over(Window.partitionBy("series", "idx").orderBy("t")).alias("until"))
-    held = ticks.join(spans.withColumnRenamed("t", "since"), "series").where((F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
-    return held.groupBy("series", "t").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("buckets"))
+    series, bucket = Window.partitionBy("series"), Window.partitionBy("series", "idx").orderBy("t")
+    numbered = per.withColumn("_i", F.dense_rank().over(series.orderBy("t")))
+    ticks = numbered.select("series", "labels", "t", "_i").dropDuplicates(["series", "t"])
+    spans = numbered.withColumns({"cnt": F.sum("n").over(bucket), "_next": F.lead("_i").over(bucket), "_last": F.max("_i").over(series)})
+    each = spans.select("series", "idx", "cnt", F.explode(F.sequence("_i", F.coalesce(F.col("_next") - 1, F.col("_last")))).alias("_i"))
+    rows = each.groupBy("series", "_i").agg(F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("buckets"))
+    return rows.join(ticks, ["series", "_i"]).select("series", "labels", "t", "buckets")
