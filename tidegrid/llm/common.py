@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key with at least one in so many of all rows is joined by broadcast; there are no more than so many.
+HOT_SHARE = 1_000
+
 _OWN_DIRS: dict[str, str] = {}
 
 #: Rows that one window partition of ``number_rows`` holds on average.
@@ -19,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):  # a cluster without the setting: beside its tables
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
@@ -35,7 +40,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def bucket_of(n_rows: int, *spread: Column) -> Column:
     """A hash bucket of about ROWS_PER_BUCKET rows; equal ``spread`` values share one."""
-    return F.pmod(F.xxhash64(*spread), F.lit(max(16, -(-n_rows // ROWS_PER_BUCKET))))
+    return F.pmod(F.xxhash64(*spread), F.lit(max(64, -(-n_rows // ROWS_PER_BUCKET))))
 
 
 def number_rows(
@@ -58,3 +63,14 @@ def number_rows(
         .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1)
         .drop("_lead", "_bucket", "_offset")
     )
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key`` and, in ``count``, how many rows have it.
+
+    Keys with a thousandth of all ``total`` rows or more are joined by broadcast where the rows are, so that no
+    task gets a hot key's rows; there are a thousand of them at most. The others are shuffled.
+    """
+    hot = F.broadcast(table.where(F.col(count) * HOT_SHARE >= total))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(F.col(count) * HOT_SHARE < total), key))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut, number_rows
+from tidegrid.llm.common import cut, join_counted, number_rows
 
 #: Classes by which the proposals between two shards are granted; groups stay whole but for the last class.
 LEVELS = 1024
@@ -61,12 +61,13 @@ def _preferred(votes: Column, anchor: Column, n_shards: int, full: set[int]) ->
     return F.array_max(ranked)["s"]
 
 
-def propose(members: DataFrame, n_shards: int, full: set[int] = frozenset()) -> DataFrame:
+def propose(members: DataFrame, n_members: int, n_shards: int, full: set[int] = frozenset()) -> DataFrame:
     """(rid, shard, anchor, target) of the documents that have neighbours; members: (rid, shard, link)."""
     counts = [F.sum(F.when(F.col("shard") == s, 1).otherwise(0)).alias(f"c{s}") for s in range(n_shards)]
-    hubs = members.groupBy("link").agg(F.count(F.lit(1)).alias("total"), *counts).where("total > 1")
+    hubs = members.groupBy("link").agg(F.count(F.lit(1)).alias("total"), *counts)
+    hubs = cut(hubs.where("total > 1"), "shard-hubs")
     shares = [F.sum(F.col(f"c{s}") / F.col("total")).alias(f"v{s}") for s in range(n_shards)]
-    scored = members.join(hubs, "link").groupBy("rid", "shard").agg(F.min("link").alias("anchor"), *shares)
+    scored = join_counted(members, hubs, "link", "total", n_members).groupBy("rid", "shard").agg(F.min("link").alias("anchor"), *shares)
     votes = F.array(*[F.round(F.col(f"v{s}"), 9) for s in range(n_shards)])
     return scored.withColumn("_votes", votes).select(
         "rid", "shard", "anchor", _preferred(F.col("_votes"), F.col("anchor"), n_shards, full).alias("target")
@@ -124,13 +125,15 @@ def shard_documents(
 
     start = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(n_shards)).cast("int")
     member = nodes.select("rid", start.alias("shard"), F.explode(F.array_distinct("links")).alias("link"))
-    hubs = member.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("link")
-    linked = cut(member.join(hubs, "link"), "shard-links")  # only keys that link something
+    hubs = cut(member.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shard-hubs")
+    # Only keys that link something.
+    linked = cut(join_counted(member, hubs, "link", "_n", n).drop("_n"), "shard-links")
+    n_linked = linked.count()
 
     labels, full = None, set()
     for _ in range(rounds):
         members = linked if labels is None else linked.drop("shard").join(labels.select("rid", "shard"), "rid")
-        proposals = cut(propose(members, n_shards, full), "shard-proposals")
+        proposals = cut(propose(members, n_linked, n_shards, full), "shard-proposals")
         cells = proposals.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()
         loads = [sum(r["n"] for r in cells if r["shard"] == s) for s in range(n_shards)]
         wanted = {(r["shard"], r["target"]): r["n"] for r in cells if r["shard"] != r["target"]}
