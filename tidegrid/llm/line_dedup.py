@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, join_counted
 
 #: Keys of fewer code points are never dropped.
 MIN_CHARS = 10
@@ -174,8 +174,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     shared = spark.sparkContext.broadcast(bits)
     found = rows.mapInPandas(_suspects(shared, log_bits), "doc_id long, h long, key string, lines array<int>")
     found = cut(found, "line-suspects")
-    repeats = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first < _last").drop("_last")
-    drops = found.join(repeats, "key").where("doc_id > first").select("doc_id", "h", "lines").distinct()
+    held = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    repeats = cut(held.where("first < _last").drop("_last"), "line-repeats")
+    met = join_counted(found, repeats, "key", "_n", found.count())
+    drops = met.where("doc_id > first").select("doc_id", "h", "lines").distinct()
     drops = drops.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("lines")).alias("drops"))
     marked = rows.join(drops, ["doc_id", "h"], "left").select("doc_id", "text", "drops")
     out = marked.mapInPandas(_drop, "doc_id long, kept string, n_lines long, n_dropped long")
