@@ -62,15 +62,6 @@ def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def _pivots() -> list[tuple[list[int], int]]:
-    """(reference fingerprints, mask) of each block, enough to tell any two values of the block apart."""
-    out = []
-    for first, bits in BLOCKS:
-        mask = ((1 << bits) - 1) << first
-        out.append(([1 << (first + b) for b in range(bits)], mask))
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
