@@ -102,7 +102,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFram
     if held_out is not None:
         known = known.where(~held_out(F.col("_id")))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("id"), "text", "toxic")
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    return texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("id"), "text", "toxic")
 
 
 def fit(rows: DataFrame) -> Model:
