@@ -44,6 +44,16 @@ def test_strides_keep_all_events(spark):
     assert total("hist_count_stride") == total("hist_count")
 
 
+def test_whole_queries_read_rows_outside_the_ranges(spark):
+    q, m = metric_queries.QUERIES, metric_queries
+    times = {r["t"] for r in q["agg_sum_rate_whole"](spark, SMALL).collect()}
+    assert min(times) < m.START and max(times) > m.END
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    first = orders.groupBy("o_orderpriority").agg({"o_orderdate": "min"}).withColumnRenamed("min(o_orderdate)", "o_orderdate")
+    after = orders.count() - orders.join(first, ["o_orderpriority", "o_orderdate"]).count()
+    assert sum(r["v"] for r in q["hist_count_whole"](spark, SMALL).collect()) == after
+
+
 def test_heatmap_counts_are_those_of_the_histogram(spark):
     q = metric_queries.QUERIES
     by_t = {}

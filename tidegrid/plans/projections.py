@@ -17,6 +17,18 @@ def nanos(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, cast({column} as timestamp_ntz)) * 1000")
 
 
+def span(spark: SparkSession, sf_dir: str, table: str, column: str) -> tuple[int, int]:
+    """First and last time of a table in ns, one row to the driver; (0, 0) where it has none."""
+    ends = spark.read.parquet(f"{sf_dir}/{table}.parquet").agg(F.min(nanos(column)).alias("a"), F.max(nanos(column)).alias("z")).first()
+    return (0, 0) if ends["a"] is None else (ends["a"], ends["z"])
+
+
+def grid_span(spark: SparkSession, sf_dir: str, table: str, column: str, step: int) -> tuple[int, int]:
+    """The ticks between which all of a table lies."""
+    first, last = span(spark, sf_dir, table, column)
+    return first - first % step, last - last % step + step
+
+
 def _labels(*names: str) -> Column:
     return F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
 
