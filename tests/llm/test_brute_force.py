@@ -223,6 +223,15 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    n = 4_000
+    names = [int(x) for x in np.random.default_rng(3).permutation(n)]
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(n, n + 1), (n + 2, n + 2)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(n)} | {n: n, n + 1: n, n + 2: n + 2}
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
 # ---- mixing ----
 
 

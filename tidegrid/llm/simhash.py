@@ -7,7 +7,8 @@ three blocks at least, and so in all coordinates of these blocks, which is the k
 joined on. A pair is discarded if any coordinate differs by more than the threshold (triangle inequality),
 and the Hamming distance of the survivors is computed. Crowded keys aren't expanded into pairs: their
 fingerprints meet at the values one bit away, which finds every link of two bits with at most 65
-fingerprints in one place. Components are found by joins that halve the paths.
+fingerprints in one place. Components are found by contracting them, in
+rounds that grow with the logarithm of their size.
 """
 
 from __future__ import annotations
@@ -127,31 +128,31 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the component of each node of ``edges`` (a, b).
 
-    Every node points to the least node known; in each round it takes the least pointer among its
-    neighbours, then its pointer's pointer, until nothing changes.
+    In each round every node points to the one that hashes least of itself and its neighbours, and edges are
+    drawn between the nodes pointed to. The hash is another in each round, so that about half of the nodes are
+    left, whatever the shape; the one that hashes most never is, so this ends when no edge is left.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.distinct(), "simhash-edges")
-    state = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "simhash-roots")
-    for _ in range(max_rounds):
-        theirs = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("_r")), "b").groupBy("a").agg(F.min("_r").alias("_r"))
-        hooked = state.join(theirs.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("root").alias("_old"), F.least("root", "_r").alias("root")
-        )
-        jump = state.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        after = cut(
-            hooked.join(jump, "root", "left").select("node", "_old", F.least("root", F.coalesce("_up", "root")).alias("root")),
-            "simhash-roots",
-        )
-        state = after.select("node", "root")
-        if after.where("root <> _old").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
-    return state
+    steps = []
+    while not both.isEmpty():
+        rank = lambda c, i=len(steps): F.struct(F.xxhash64(c, F.lit(i)).alias("h"), F.col(c).alias("to"))
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("_b"))
+        step = cut(least.select(F.col("a").alias("node"), F.least("_b", rank("a"))["to"].alias("to")), "simhash-steps")
+        steps.append(step)
+        for end in ("a", "b"):
+            both = both.join(step.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
+        both = cut(both.where("a <> b").select("a", "b").distinct(), "simhash-edges")
+    # Backwards: where each node's last is from the next round on. Tables halve from round to round.
+    last = steps.pop() if steps else both.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    for step in reversed(steps):
+        further = last.select(F.col("node").alias("to"), F.col("to").alias("_last"))
+        last = cut(step.join(further, "to", "left").select("node", F.coalesce("_last", "to").alias("to")), "simhash-last")
+    roots = last.groupBy("to").agg(F.min("node").alias("root"))
+    return cut(last.join(roots, "to").select("node", "root"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
