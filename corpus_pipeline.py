@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import curriculum, decontaminate, sharding, simhash, toxicity
+from tidegrid.llm import curriculum, decontaminate, sharding, shingles, toxicity
 from tidegrid.llm.common import cut
 
 
@@ -17,16 +17,15 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates; of repeated rows, one.
+    """Keep the row with the smallest doc_id of each group of near-duplicates; of repeated rows, one.
 
-    Documents without a doc_id can't be told from each other's groups; of equal ones, one stays.
+    Rows are near-duplicates at 0.8 of their five-word shingles or at two bits of op4's fingerprints. They are
+    told apart by doc_id and text, so other texts of a doc_id stay; a row without a doc_id comes last.
     """
-    groups = simhash.near_duplicates(docs)
-    first = groups.select(F.col("component_id").alias("_id")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    # One shuffle of the texts, by doc_id, serves the join and the repeated rows.
-    kept = known.join(first, known["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    first = cut(shingles.survivors(docs), "near-first")
+    # One shuffle of the texts, by row key, serves the join and the repeated rows.
+    keyed = docs.withColumn("_row", shingles.row_key())
+    return keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

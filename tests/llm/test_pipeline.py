@@ -3,8 +3,11 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidegrid.llm import simhash
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -24,6 +27,25 @@ def test_near_dedup_keeps_one_of_a_group(spark, documents):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "no id"), (1, None), (2, "Same WORDS here"), (7, "other words altogether")]
 
 
+def test_near_dedup_drops_similar_texts_of_many_bits(spark, documents):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, 200)]
+        near = [*words[:60], "other", *words[61:120], "another", *words[121:]]  # 10 of 196 shingles differ
+        texts += [" ".join(words), " ".join(near)]
+    bits = [(simhash.fingerprint_bytes(a.encode()) ^ simhash.fingerprint_bytes(b.encode())).bit_count() for a, b in zip(texts[::2], texts[1::2])]
+    assert max(bits) > 2
+    kept = stage("simhash_near_dedup")(spark, documents(texts), SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_near_dedup_keeps_other_texts_of_a_doc_id(spark, documents):
+    docs = documents(["one text of its own", "quite other words are here", "quite other words are here"], ids=[1, 1, None])
+    kept = stage("simhash_near_dedup")(spark, docs, SMALL)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "one text of its own"), (1, "quite other words are here")]
+
+
 def test_decontamination_drops_hits_alone(spark, documents):
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where(F.length("text") > 100).first()["text"]
     docs = documents(["clean words", f"before {item} after", None, ""])
