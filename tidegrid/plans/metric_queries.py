@@ -360,7 +360,8 @@ SELECT 'events_total' AS metric, 'events_total{{event_type="' || k || '"}} ' ||
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """The rate at which event ids grow by type, from a stream over the table."""
     shape = s.read.parquet(f"{d}/events.parquet").schema
-    events = s.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(d)
+    # A pattern, as a stream takes a single file by no other path; it fits a folder of part files as well.
+    events = s.readStream.schema(shape).parquet(f"{d}/events.parque[t]")
     samples = events.select(F.col("event_type").alias("series"), P.nanos("ts").alias("t"), F.col("event_id").alias("v"))
     folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return live.run_through(live.grid_rate(samples, STEP), f"{folder}/stream-{uuid.uuid4().hex}").select(F.col("series").alias("event_type"), "t", (F.round("v", 6) + 0.0).alias("v"))
