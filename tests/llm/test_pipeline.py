@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegrid.llm import simhash
+from tidegrid.llm import curriculum, queries, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,6 +63,22 @@ def test_mixing_repeats_and_drops(spark, documents):
     assert out.columns == docs.columns and abs(words["a"] - 500) <= 10 and abs(words["b"] - 1000) <= 40
 
 
+def test_mixing_writes_copies_in_the_order_of_training(spark, documents):
+    docs = documents([f"w{i} " * 10 for i in range(300)], sources=["a", "b", "c"] * 100)
+    places = {}
+    for r in curriculum.curriculum(docs, ["doc_id"]).collect():
+        places[r["doc_id"]] = [c["position"] for c in r["copies"] if c["words"] * 2 >= r["size"]]
+    got = [r["doc_id"] for r in stage("mixing")(spark, docs, SMALL).collect()]
+    assert got == [i for _, i in sorted((p, i) for i, ps in places.items() for p in ps)]
+
+
+def test_op5_gives_all_positions_in_order(spark):
+    rows = queries.op5_mixing(spark, SMALL).collect()
+    taken = [r for r in rows if r["taken"]]
+    assert rows[: len(taken)] == taken and [r["position"] for r in taken] == sorted(r["position"] for r in taken)
+    assert all(r["positions"][0] == r["position"] for r in taken) and max(len(r["positions"]) for r in rows) > 1
+
+
 def test_whole_pipeline(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     sizes = [sum(r["shard"] == s for r in rows) for s in range(8)]

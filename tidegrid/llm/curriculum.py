@@ -122,7 +122,11 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def whole_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of each document once for every copy of which at least half of the words are taken."""
+    """``columns`` of each document once for every copy of which at least half of the words are taken.
+
+    Rows are range-partitioned and sorted by the copies' positions.
+    """
     size = F.col(_free("size", columns))
     halves = F.filter(_free("copies", columns), lambda c: c["words"] * 2 >= size)
-    return mixed.select(*columns, F.explode(halves).alias("_c")).select(*columns)
+    rows = mixed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], F.explode(halves).alias("_c"))
+    return rows.orderBy("_c.position").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])

@@ -39,8 +39,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.curriculum(_table(spark, sf_dir, "documents"))
-    first = F.element_at(F.col("copies.position"), 1)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("copies") > 0, first).alias("position"))
+    places = F.col("copies.position")
+    first = F.when(F.size("copies") > 0, F.element_at(places, 1)).alias("position")
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", first, places.alias("positions"))
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
