@@ -232,6 +232,10 @@ def test_components_of_a_long_shuffled_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_toxic_words_are_not_cut_at_a_thousand():
+    assert toxicity.MAX_WORDS >= 4_096
+
+
 # ---- mixing ----
 
 
