@@ -114,6 +114,23 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_roles_of_any_kind(spark):
+    rng = np.random.default_rng(4)
+    odd = ["a\\\nb", "\\\n", "x\\\\\n", "\\n", "<\\|", "<|", "\\<|", "<\\\\|", "\n", ""]
+    odd += ["".join(rng.choice(list("\\n\n<|"), rng.integers(0, 9))) for _ in range(1_000)]
+    rows = [(i, 0, r, t) for i, (r, t) in enumerate(zip(odd, reversed(odd)))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_format.format_conversations(df).collect()}
+    assert got == {i: [(r, t)] for i, _, r, t in rows}
+
+
+def test_chat_that_does_not_come_back_stops(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "escape_role", lambda role: F.replace(role, F.lit("\n"), F.lit("\\n")))
+    df = spark.createDataFrame([(1, 0, "a\\\nb\\n", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="come back"):
+        chat_format.digest(chat_format.format_conversations(df)).collect()
+
+
 def test_chat_query(spark, small):
     rows = {r["conv_id"]: r for r in queries.op2_chat_format(spark, small).collect()}
     by = defaultdict(list)
@@ -345,53 +362,93 @@ def test_decontamination_without_a_broadcast(spark, documents, monkeypatch):
 
 
 def nearest(ids, x, i, k=5):
+    """(id, cosine) of the k nearest rows but row i, ties to the smaller id, null last."""
     norms = np.sqrt((x * x).sum(axis=1))
     s = (x * x[i]).sum(axis=1) / (norms * norms[i])
-    order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:k]
-    return [(int(ids[j]), float(s[j])) for j in order]
+    order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j] is None, ids[j] or 0))[:k]
+    return [(ids[j], float(s[j])) for j in order]
 
 
-def test_neighbours_query(spark, small):
-    rows = table(spark, small, "embeddings").collect()
-    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbours_query(spark, sf, monkeypatch):
+    fitted = []
+    own = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(own(*a)) or fitted[0])
+    rows = table(spark, f"/root/testdata/{sf}", "embeddings").collect()
+    ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
     got = defaultdict(list)
-    for r in queries.op7_ann(spark, small).orderBy("query_id", "rank").collect():
+    for r in queries.op7_ann(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    hits = 0
-    for i in np.flatnonzero(ids % 50 == 0):
-        want = nearest(ids, x, i)
-        mine = got.pop(int(ids[i]))
+    assert len(fitted[0].centroids) > 5  # at every size
+    hits = n = 0
+    for i in [i for i, v in enumerate(ids) if v % 50 == 0]:
+        mine = got.pop(ids[i])
         assert len(mine) == 5 and [s for _, s in mine] == sorted((s for _, s in mine), reverse=True)
-        hits += len({v for v, _ in mine} & {v for v, _ in want})
+        hits += len({v for v, _ in mine} & {v for v, _ in nearest(ids, x, i)})
+        n += 5
         exact = dict(nearest(ids, x, i, len(ids)))
         assert all(s == pytest.approx(exact[v], abs=1e-12) for v, s in mine)
-    assert not got and hits / (5 * (ids % 50 == 0).sum()) >= 0.9
+    assert not got and hits / n >= 0.9
 
 
-def test_neighbours_in_many_lists(spark, monkeypatch):
-    monkeypatch.setattr(ann, "ONE_LIST", 100)
-    monkeypatch.setattr(ann, "PER_LIST", 50)
-    monkeypatch.setattr(ann, "VECTORS_PER_GROUP", 64)
+def crowd(n=600, dims=24):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((600, 24)) + 2 * rng.standard_normal((6, 24))[rng.integers(0, 6, 600)]
-    x[100:300] = x[100]  # a crowd of one vector
+    x = rng.standard_normal((n, dims)) + 2 * rng.standard_normal((6, dims))[rng.integers(0, 6, n)]
+    x[100:300] = x[100]  # of one vector
+    return x
+
+
+def test_neighbours_in_many_lists_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTORS_PER_GROUP", 64)
+    monkeypatch.setattr(ann, "QUERIES_PER_GROUP", 4)
+    monkeypatch.setattr(ann, "PAIRS", 256)
+    x = crowd()
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
-    ids = np.arange(600)
-    want = {i: [v for v, _ in nearest(ids, x, i)] for i in range(0, 600, 20)}
+    want = {i: [v for v, _ in nearest(list(range(600)), x, i)] for i in range(0, 600, 20)}
     assert got[100] == [101, 102, 103, 104, 105] and got[120] == [100, 101, 102, 103, 104]
     assert sum(len(set(got[i]) & set(w)) for i, w in want.items()) >= 0.9 * 5 * len(want)
 
 
+def test_bounds_abandon_candidates_but_no_neighbour():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tx, own = x.astype(np.float32), np.arange(3_000)[None, :] == np.arange(40)[:, None]
+    exact = ((x[:40, None] - x[None]) ** 2).sum(axis=2)
+    exact[own] = np.inf
+    best = np.argsort(exact, axis=1)[:, :5]
+    left = []
+    for bound in (np.full(40, np.inf), np.sort(exact, axis=1)[:, 4] + 1e-6):
+        qi, xi = ann.survivors(tx, tx[:40], own, bound, 5)
+        pairs = set(zip(qi.tolist(), xi.tolist()))
+        assert sum((i, int(j)) in pairs for i in range(40) for j in best[i]) >= 0.98 * 200
+        assert not any(i == j for i, j in pairs)
+        left.append(len(pairs))
+    assert left[1] <= left[0] < 0.1 * own.size  # a known bound abandons more
+
+
+def test_neighbours_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.995037), (2, 1, 0.0), (3, 2, 0.0)]
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(twice, F.col("vec_id") % 50 == 0).collect())
+    assert len(got) == 9 and sum(v == 50 for _, _, v in got) == 6
+
+
 def test_neighbours_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.1]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"list": F.lit(1), "rid": F.lit(2), "v": F.lit("x"), "q": F.lit(0)})
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    assert got == [(0, 1, 50), (0, 2, None), (0, 3, 7), (0, 4, 7), (50, 1, 0), (50, 2, None), (50, 3, 7), (50, 4, 7)]
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    long = spark.createDataFrame([(50, [1.0] * 5_000), (1, [1.0] * 4_999 + [2.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.search(long, F.col("vec_id") % 50 == 0).collect()] == [1]
 
 
 # ---- toxicity ----

@@ -2,8 +2,10 @@
 
 A conversation is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Each rendered turn is
 parsed again by a deterministic grammar; where the parse isn't the source turn, the conflicting content is
-escaped and parsed again. Escaping puts one more backslash into every ``<``, backslashes, ``|`` (and into
-line ends of a role), which is a bijection: the escaped form always parses, and unescaping takes one away.
+escaped and parsed again. Escaping a text puts one more backslash into every ``<``, backslashes, ``|``, and
+unescaping takes one away. In a role every backslash is doubled, a line end becomes backslash n, and ``<|``
+becomes ``<``, backslash, ``|``; it is read from left to right, a backslash and what follows it at a time.
+The last form is parsed like the others, and a turn that none brings back stops the job.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ def unescape_text(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """As for a text; a line end becomes backslash n, and each such sequence gets one more backslash."""
-    return F.regexp_replace(F.regexp_replace(escape_text(role), r"(\\+n)", r"\\$1"), "\n", r"\\n")
+    doubled = F.replace(role, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("<|"), F.lit("<\\|"))
 
 
 def unescape_role(role: Column) -> Column:
-    return unescape_text(F.regexp_replace(F.regexp_replace(role, r"(?<!\\)\\n", "\n"), r"\\(\\+n)", "$1"))
+    """Split at doubled backslashes, from left to right, single ones are left with what they stand before."""
+    single = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|"))
+    return F.array_join(F.transform(F.split(role, r"\\\\"), single), "\\")
 
 
 def render(role: Column, text: Column) -> Column:
@@ -81,8 +85,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         render(F.col("role"), escape_text(F.col("text"))),
         render(escape_role(F.col("role")), escape_text(F.col("text"))),
     ]
-    piece = forms[-1]
-    for form in reversed(forms[:-1]):
+    piece = F.raise_error(F.concat(F.lit("turn doesn't come back from its rendering: "), F.col("role"))).cast("string")
+    for form in reversed(forms):
         piece = F.when(_same(form, F.col("role"), F.col("text")), form).otherwise(piece)
     return turns.select("conv_id", "role", "text", F.row_number().over(ordered).alias("place"), piece.alias("piece"))
 
@@ -92,7 +96,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     formatted: the rendered turns in the order of ``turn`` (ties by role, then text; a null turn first).
     turns: the turns parsed back. loss_spans: array<struct<start, chars>>, code points from 1, of the
-    assistant texts within ``formatted``. round_trip: whether the turns parsed back are the source's.
+    assistant texts within ``formatted``. round_trip: that the turns parsed back are the source's; a
+    conversation of which they aren't stops the job instead of giving a row.
 
     Null roles and texts are empty; rows with a null conv_id are one conversation; repeated rows are turns
     of their own; other columns are ignored. A conversation is one string, so its turns meet in one task.
@@ -117,9 +122,12 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    return parsed.select(
-        "conv_id", "formatted", "turns", ends.alias("loss_spans"), F.coalesce(source == back, F.lit(False)).alias("round_trip")
+    same = F.when(F.coalesce(source == back, F.lit(False)), F.lit(True)).otherwise(
+        F.raise_error(F.lit("conversation doesn't come back from its rendering")).cast("boolean")
     )
+    # The check stands before all columns, so that no selection of them leaves it out.
+    checked = parsed.withColumn("round_trip", same).where("round_trip")
+    return checked.select("conv_id", "formatted", "turns", ends.alias("loss_spans"), "round_trip")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
