@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegrid.llm import ann, chat_format, curriculum, decontaminate, licenses, line_dedup, quality, queries, sharding, simhash, toxicity
+from tidegrid.llm import ann, chat_format, common, curriculum, decontaminate, licenses, line_dedup, quality, queries, sharding, simhash, toxicity
 
 LONG = "word " * 30_000
 AWKWARD = [None, "", "  \n\t ", "x", LONG, "Same text here.", "Same text here.", "Été à Paris — naïve 😀 text", "a\nb\nThis line is LONG enough\nc", "d\n this line is long enough \ne", "\x00odd\x0bbytes\x1f"]
@@ -234,6 +234,56 @@ def test_links_among_crowded_fingerprints(spark):
     assert groups({v: state.get(v, v) for v in values}) == groups(want)
 
 
+def crowded_fingerprints():
+    rng = np.random.default_rng(1)
+    values = set()
+    for b in rng.integers(0, 1 << 62, 3):
+        for _ in range(150):
+            values.add(int(b) ^ sum(1 << int(x) for x in rng.choice(12, rng.integers(0, 4), replace=False)))
+    return sorted(values | {int(x) for x in rng.integers(0, 1 << 62, 300)})
+
+
+def test_links_are_all_pairs(spark):
+    values = np.array(crowded_fingerprints(), dtype=np.int64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2
+    want = {(int(values[i]), int(values[j])) for i, j in zip(*np.nonzero(near)) if i < j}
+    fps = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    assert {(r["a"], r["b"]) for r in simhash.links(fps).collect()} == want and len(want) > 500
+
+
+def test_pivots_decide_the_candidates(spark, monkeypatch):
+    values = crowded_fingerprints()
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    far = lambda a, b: max(abs((a ^ p).bit_count() - (b ^ p).bit_count()) for p in simhash.whole_pivots())
+
+    def pairs():
+        return {(r["a"], r["b"]): r["apart"] for r in simhash.candidates(fps).collect()}
+
+    many = pairs()
+    assert all(v == far(a, b) for (a, b), v in many.items())
+    passed = {k for k, v in many.items() if v <= 2}
+    links = {k for k in passed if (k[0] ^ k[1]).bit_count() <= 2}
+    assert links < passed < many.keys()  # the bound discards some, the distance others
+    monkeypatch.setattr(simhash, "CROWDED", 10**9)
+    whole = pairs()
+    monkeypatch.setattr(simhash, "REFERENCES", 2)
+    fewer = pairs()
+    assert len(fewer) > 1.5 * len(whole) and whole.keys() > links and fewer.keys() > links
+    monkeypatch.setattr(simhash, "WHOLE_PIVOTS", 0)
+    assert set(pairs().values()) == {0}
+
+
+def test_shuffle_branch_of_counted_joins(spark, monkeypatch):
+    rows = [(k, i) for i in range(3_000) for k in ([0] if i % 3 == 0 else [i])]
+    df = spark.createDataFrame(rows, "key long, x long")
+    sizes = df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("key % 2 = 0")
+    for share in (0, 10, common.HOT_SHARE, 10**9):  # none is hot, one, and all
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = common.join_counted(df, sizes, "key", "n", df.count()).collect()
+        assert sorted((r["key"], r["x"]) for r in got) == sorted(r for r in rows if r[0] % 2 == 0)
+        assert all(r["n"] == (1_000 if r["key"] == 0 else 1) for r in got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

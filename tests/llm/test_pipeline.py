@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegrid.llm import curriculum, queries, simhash
+from tidegrid.llm import curriculum, queries, shingles, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,6 +40,41 @@ def test_near_dedup_drops_similar_texts_of_many_bits(spark, documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
 
 
+def jaccard(a, b):
+    a, b = (set(shingles.shingle_hashes(t.encode()).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_of_a_crowd_with_a_common_passage(spark, documents, monkeypatch):
+    """Texts that share most of a passage, so that they have keys in common, in pairs that alone are similar."""
+    monkeypatch.setattr(shingles, "CROWDED", 1)
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(150)]
+    texts = []
+    for _ in range(30):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        texts += [" ".join(common + own), " ".join([*common, *own[:55], "x", *own[56:]])]
+    n = len(texts)
+    sims = np.array([[jaccard(a, b) for b in texts] for a in texts])
+    bits = [simhash.fingerprint_bytes(t.encode()) for t in texts]
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if sims[i, j] >= 0.8 or (bits[i] ^ bits[j]).bit_count() <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert 10 < len(set(root)) < n
+    kept = stage("simhash_near_dedup")(spark, documents(texts), SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    # Where nothing is linked yet, the prefix join finds every similar pair of a crowd, but not all pairs.
+    classes = documents(texts).select("doc_id", shingles.sketch("text").alias("_s")).select("doc_id", "_s.*").cache()
+    named = {r["class"]: r["doc_id"] for r in classes.collect()}
+    nothing = spark.createDataFrame([], "node long, root long")
+    found = {frozenset((named[r["a"]], named[r["b"]])) for r in shingles._apart(shingles._sharing(classes), classes, nothing).collect()}
+    want = {frozenset((i, j)) for i in range(n) for j in range(i) if sims[i, j] >= 0.8}
+    assert want <= found and len(found) < n * (n - 1) / 4
+
+
 def test_near_dedup_keeps_other_texts_of_a_doc_id(spark, documents):
     docs = documents(["one text of its own", "quite other words are here", "quite other words are here"], ids=[1, 1, None])
     kept = stage("simhash_near_dedup")(spark, docs, SMALL)

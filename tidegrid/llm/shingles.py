@@ -2,8 +2,12 @@
 
 Candidates share one of BANDS keys, each made of ROWS minima of hashed shingles: of pairs at SIMILARITY, one in
 10,000 shares none. Every candidate is verified on both whole sets of shingles. Texts of the same words are one
-class, compared once. Keys with more than CROWDED classes aren't expanded into pairs: their classes are compared
-with the key's least and greatest class.
+class, compared once.
+
+A key with more than CROWDED classes isn't expanded into pairs. Its classes are compared with its least and
+greatest one, which links a crowd of near copies. Only what is linked matters, so a key whose classes are all
+in one component is done. The classes of the others are compared across components by a prefix join: shingles
+are ordered by how few of these classes hold them, and any two at SIMILARITY share one of their first fifth.
 """
 
 from __future__ import annotations
@@ -11,12 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tidegrid.llm import simhash
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, join_counted
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -57,30 +61,65 @@ def sketch(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["class", "fp", "shingles", "bands"])
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes that share a key and whose sizes allow SIMILARITY."""
-    keyed = classes.select("class", F.size("shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("class", "n")).alias("_a"), F.max(F.struct("class", "n")).alias("_z")).where("_n > 1")
-    shared = cut(keyed.join(cut(sizes, "shingle-keys"), "key"), "shingle-shared")
+def _sharing(classes: DataFrame) -> DataFrame:
+    """(key, class, n, _n, _a, _z): the keys of each class that _n > 1 classes have, and the least and greatest of these."""
+    keyed = cut(classes.select("class", F.size("shingles").alias("n"), F.explode("bands").alias("key")), "shingle-keyed")
+    one = F.struct("class", "n")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("_a"), F.max(one).alias("_z")).where("_n > 1")
+    return cut(join_counted(keyed, cut(sizes, "shingle-keys"), "key", "_n", keyed.count()), "shingle-shared")
+
+
+def _fitting(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, of pairs (x, y) of structs (class, n) whose sizes allow SIMILARITY."""
+    fit = F.least("x.n", "y.n") >= F.lit(SIMILARITY) * F.greatest("x.n", "y.n")
+    return pairs.where((F.col("x.class") < F.col("y.class")) & fit).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: all classes that share an uncrowded key, and those of a crowded one with its least and greatest."""
     few = shared.where(F.col("_n") <= CROWDED).select("key", F.struct("class", "n").alias("x"))
     pairs = few.join(few.withColumnRenamed("x", "y"), "key").select("x", "y")
     ends = shared.where(F.col("_n") > CROWDED).select(F.struct("class", "n").alias("x"), F.explode(F.array("_a", "_z")).alias("y"))
-    ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    both = pairs.unionByName(ends).where(F.col("x.class") < F.col("y.class"))
-    fit = both.where(F.least("x.n", "y.n") >= F.lit(SIMILARITY) * F.greatest("x.n", "y.n"))
-    return fit.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-
-
-def similar(classes: DataFrame) -> DataFrame:
-    """(a, b): candidates of SIMILARITY or more. classes: class, shingles, bands; a row per class."""
-    pairs = cut(_candidates(classes), "shingle-pairs")
+    return _fitting(pairs.unionByName(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))))
+
+
+def _apart(shared: DataFrame, classes: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates in different components among the classes of crowded keys that hold several."""
+    named = state.select(F.col("node").alias("class"), "root")
+    rooted = shared.where(F.col("_n") > CROWDED).join(named, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    rooted = cut(rooted, "shingle-rooted")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("key")
+    left = cut(rooted.join(open_keys, "key", "left_semi").select("class", "root").distinct(), "shingle-open")
+    held = left.join(classes.select("class", "shingles"), "class")
+    each = cut(held.select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "shingle-tokens")
+    rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("_df"), F.min("root").alias("_a"), F.max("root").alias("_z"))
+    ranked = join_counted(each, cut(rarity, "shingle-rarity"), "token", "_df", each.count())
+    order = Window.partitionBy("class").orderBy("_df", "token")
+    prefix = ranked.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n")) + 1)
+    met = cut(prefix.where("_a <> _z").select("token", "root", F.struct("class", "n").alias("x")), "shingle-prefix")
+    other = met.select("token", F.col("root").alias("_r"), F.col("x").alias("y"))
+    return _fitting(met.join(other, "token").where("root <> _r"))
+
+
+def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of SIMILARITY or more, by their whole sets of shingles."""
     sets = classes.select("class", "shingles")
     left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
     common = F.size(F.array_intersect("_a", "_b"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = cut(pairs, "shingle-pairs").join(left, "a").join(right, "b")
     return met.where(common >= F.lit(SIMILARITY) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
+def linked(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of the components of ``edges`` (a, b) and all links at SIMILARITY. classes: class, shingles, bands."""
+    shared = _sharing(classes)
+    state = simhash.components(edges.unionByName(_similar(_candidates(shared), classes)))
+    across = cut(_similar(_apart(shared, classes, state), classes), "shingle-across")
+    if across.isEmpty():
+        return state
+    return simhash.components(state.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(across))
+
+
 def row_key() -> Column:
     """A long that tells rows apart by doc_id and text."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")), F.col("text").isNull())
@@ -90,13 +129,14 @@ def survivors(docs: DataFrame) -> DataFrame:
     """_row: the row_key of the first row, by doc_id, of each component of near-duplicates."""
     rows = cut(docs.select(row_key().alias("_row"), "doc_id", sketch("text").alias("_s")).select("_row", "doc_id", "_s.*"), "shingle-rows")
     classes = cut(rows.dropDuplicates(["class"]).drop("_row", "doc_id"), "shingle-classes")
-    prints = classes.groupBy("fp").agg(F.min("class").alias("first"))
-    same = classes.join(prints, "fp").select(F.col("first").alias("a"), F.col("class").alias("b")).where("a <> b")
+    prints = cut(classes.groupBy("fp").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("_n")), "shingle-prints")
+    named = join_counted(classes.select("class", "fp"), prints, "fp", "_n", classes.count())
+    same = named.select(F.col("first").alias("a"), F.col("class").alias("b")).where("a <> b")
     near = cut(simhash.links(prints.select("fp")), "shingle-links")
     for end in ("a", "b"):
         near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
     near = near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    state = simhash.components(same.unionByName(near).unionByName(similar(classes)))
+    state = linked(classes, same.unionByName(near))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_f")
     per_class = rows.groupBy("class").agg(first)
     named = per_class.join(state.withColumnRenamed("node", "class"), "class", "left")

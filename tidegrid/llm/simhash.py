@@ -1,14 +1,20 @@
 """Near-duplicates by SimHash fingerprints and pivot distance tables.
 
 Documents are reduced to distinct fingerprints first, so exact and near copies with one fingerprint cost
-one row. Each fingerprint gets a table of its Hamming distances to reference fingerprints (pivots). Some
-pivots are confined to one of five blocks of bits: two fingerprints that differ in at most two bits agree in
-three blocks at least, and so in all coordinates of these blocks, which is the key that candidates are
-joined on. A pair is discarded if any coordinate differs by more than the threshold (triangle inequality),
-and the Hamming distance of the survivors is computed. Crowded keys aren't expanded into pairs: their
-fingerprints meet at the values one bit away, which finds every link of two bits with at most 65
-fingerprints in one place. Components are found by contracting them, in
-rounds that grow with the logarithm of their size.
+one row. Each fingerprint gets a table of its Hamming distances to reference fingerprints (pivots):
+
+- Families. The 64 bits are dealt to five families; the references of a family differ from a common reference
+  in bits of the family alone, so how much farther they are is a coordinate that changes only if such a bit
+  does. Two fingerprints that differ in at most two bits have equal coordinates in three families at least:
+  those of three families, in each of the ten choices, are a cell, and candidates are the pairs of a cell.
+- Pivots over all bits. A pair is discarded if its distances to any of them differ by more than the threshold
+  (triangle inequality).
+
+The Hamming distance of the survivors is computed. A cell with more than CROWDED fingerprints isn't expanded
+into pairs but split by the coordinates of five other families, and so on, until none is left: what holds for
+the first families holds for all. (Cells of a width of three of single random pivots wouldn't do: to find all
+neighbours a fingerprint goes to 2.3 cells for each pivot, and each halves the candidates of one cell only.)
+Components are found by contracting them, in rounds that grow with the logarithm of their size.
 """
 
 from __future__ import annotations
@@ -22,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, join_counted
 
 SEED = 42
 BITS = 64
 MAX_DISTANCE = 2
-#: First bit and number of bits of each block; MAX_DISTANCE + 3 blocks, of which 3 agree in every link.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Families of references, in which all but MAX_DISTANCE agree in every link, and references of each.
+FAMILIES, REFERENCES = 5, 8
 #: Pivots over all bits, that is, coordinates by which a pair of candidates can be discarded.
 WHOLE_PIVOTS = 16
-#: A key with more distinct fingerprints isn't expanded into pairs.
+#: A cell with more distinct fingerprints is split by further families.
 CROWDED = 32
 #: Shingles hashed at a time, so that a long text needs no more memory.
 CHUNK = 100_000
@@ -67,65 +73,67 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _block_key(fp: Column, block: int) -> Column:
-    """The block's coordinates: distances, within the block, to zero and to each one-bit reference.
-
-    The distance to a one-bit reference is that to zero plus or minus 1, so that the coordinates together
-    are the block's bits; they are kept in that form.
-    """
-    first, bits = BLOCKS[block]
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
-
-
 def whole_pivots() -> list[int]:
     rng = np.random.default_rng(SEED)
     return [int(x) for x in rng.integers(0, 1 << 63, WHOLE_PIVOTS, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, WHOLE_PIVOTS, dtype=np.uint64)]
 
 
+def families(level: int) -> tuple[int, list[list[int]]]:
+    """(a reference, the references of each family, which differ from it in the family's bits alone)."""
+    rng = np.random.default_rng((SEED, level))
+    dealt = rng.permutation(BITS) % FAMILIES
+    common = sum(1 << b for b in range(BITS) if rng.random() < 0.5)
+    out = []
+    for g in range(FAMILIES):
+        bits = [int(b) for b in np.flatnonzero(dealt == g)]
+        out.append([common ^ sum(1 << b for b in bits if rng.random() < 0.5) for _ in range(REFERENCES)])
+    return common, out
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
 def distance_table(fps: DataFrame) -> DataFrame:
-    """fp with ``d``: its distances to the pivots, a byte each."""
+    """fp with ``d``: its distances to the pivots over all bits, a byte each."""
     return fps.withColumn("d", F.array(*[hamming(F.col("fp"), F.lit(_signed(p))).cast("byte") for p in whole_pivots()]))
 
 
-def _keys(table: DataFrame) -> DataFrame:
-    """A row for every way to choose three of the five blocks: key (the choice and the coordinates), fp, d."""
-    keys = [
-        F.struct(F.lit(i).alias("choice"), *[_block_key(F.col("fp"), b).alias(f"k{j}") for j, b in enumerate(chosen)])
-        for i, chosen in enumerate(combinations(range(len(BLOCKS)), 3))
-    ]
-    packed = [
-        F.lit(i).cast("long") * F.lit(1 << 40) + k["k0"] * F.lit(1 << 26) + k["k1"] * F.lit(1 << 13) + k["k2"] for i, k in enumerate(keys)
-    ]
-    return table.select(F.explode(F.array(*packed)).alias("key"), "fp", "d")
+def cells(rows: DataFrame, level: int) -> DataFrame:
+    """(cell, fp, d): ``rows`` (cell, fp, d) once in each cell of the level that lies in their cell."""
+    common, refs = families(level)
+    to_common = hamming(F.col("fp"), F.lit(_signed(common)))
+    places = [F.xxhash64(*[hamming(F.col("fp"), F.lit(_signed(r))) - to_common for r in of]).alias(f"f{g}") for g, of in enumerate(refs)]
+    placed = rows.select("cell", "fp", "d", *places)
+    chosen = combinations(range(FAMILIES), FAMILIES - MAX_DISTANCE)
+    keys = [F.xxhash64("cell", F.lit(i), *[f"f{g}" for g in some]) for i, some in enumerate(chosen)]
+    return placed.select(F.explode(F.array(*keys)).alias("cell"), "fp", "d")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints that link every two within MAX_DISTANCE, directly or by a chain of such.
+def candidates(fps: DataFrame) -> DataFrame:
+    """(a, b, apart), a < b, with repeats: pairs of a cell; apart: their largest difference to any pivot.
 
     fps: one column ``fp`` of distinct longs.
     """
-    keyed = _keys(distance_table(fps))
-    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "simhash-keys")
-    shared = cut(keyed.join(sizes, "key"), "simhash-shared")
-    few = shared.where(F.col("_n") <= CROWDED).drop("_n")
-    other = few.select("key", F.col("fp").alias("b"), F.col("d").alias("e"))
-    apart = F.array_max(F.zip_with("d", "e", lambda x, y: F.abs(x - y)))
-    pairs = (
-        few.withColumnRenamed("fp", "a")
-        .join(other, "key")
-        .where((F.col("a") < F.col("b")) & (apart <= MAX_DISTANCE) & (hamming(F.col("a"), F.col("b")) <= MAX_DISTANCE))
-        .select("a", "b")
-    )
-    crowd = shared.where(F.col("_n") > CROWDED).select("fp").distinct()
-    flips = [F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(BITS)]]
-    near = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("at"))
-    least = near.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("_z")).where("a < _z").select("at", "a")
-    stars = near.join(least, "at").where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    rows, out, level = distance_table(fps).withColumn("cell", F.lit(0).cast("long")), None, 0
+    while True:
+        keyed = cut(cells(rows, level), "simhash-cells")
+        sizes = cut(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "simhash-sizes")
+        shared = cut(join_counted(keyed, sizes, "cell", "_n", keyed.count()), "simhash-shared")
+        few = shared.where(F.col("_n") <= CROWDED).drop("_n")
+        other = few.select("cell", F.col("fp").alias("b"), F.col("d").alias("e"))
+        apart = F.coalesce(F.array_max(F.zip_with("d", "e", lambda x, y: F.abs(x - y))), F.lit(0))
+        pairs = few.withColumnRenamed("fp", "a").join(other, "cell").where("a < b").select("a", "b", apart.alias("apart"))
+        out = pairs if out is None else out.unionByName(pairs)
+        rows, level = shared.where(F.col("_n") > CROWDED).drop("_n"), level + 1
+        if rows.isEmpty():
+            return out
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct fingerprints within MAX_DISTANCE. fps: one column ``fp`` of longs."""
+    near = (F.col("apart") <= MAX_DISTANCE) & (hamming(F.col("a"), F.col("b")) <= MAX_DISTANCE)
+    return candidates(fps).where(near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,16 +168,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     One row per row of ``docs``. Null and wordless texts have fingerprint zero and link like any other.
     Rows with a null doc_id take part; a component that has no other has a null component_id. Ties and
-    repeated rows fall into one component; an empty table gives an empty result; other columns are ignored.
+    repeated rows fall into one component; texts of any length are read whole, some shingles at a time; an
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint("text").alias("fp")), "simhash-docs")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n")), "simhash-classes")
     state = components(cut(links(classes.select("fp")), "simhash-links"))
     rooted = classes.join(state.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "_n", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = cut(rooted.join(least, "root").select("fp", "component_id", "_n"), "simhash-named")
+    return join_counted(prints, named, "fp", "_n", prints.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
