@@ -30,8 +30,9 @@ PROBED_RECALL, MEASURED, MIN_CANDIDATES = 0.97, 400, 200
 BLOCK, DEVIATIONS = 16, 3.0
 #: Pairs of a block that are computed for all candidates at once, while so large a share of them is left.
 DENSE = 0.2
-#: The most vectors and queries of a list that one task holds at a time, on average; and pairs of them.
-VECTORS_PER_GROUP, QUERIES_PER_GROUP, PAIRS = 8_192, 1_024, 1 << 20
+#: The most vectors and queries of a list that one task holds at a time, on average; a list with so many times
+#: the vectors of an average one is dealt to several tasks too; and pairs that are compared at a time.
+VECTORS_PER_GROUP, QUERIES_PER_GROUP, UNEVEN, PAIRS = 8_192, 1_024, 2, 1 << 20
 #: Added to squared distances of unit vectors, against rounding of their single precision parts.
 SLACK = 1e-5
 
@@ -219,7 +220,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     def met(asked: DataFrame) -> DataFrame:
         """The best of every list for the queries sent to it; asked: (qid, query_id, q, floor, list)."""
         wanted = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = [(i, max(1, -(-int(in_list[i]) // VECTORS_PER_GROUP)), max(1, -(-m // QUERIES_PER_GROUP))) for i, m in wanted.items()]
+        most = min(VECTORS_PER_GROUP, max(1, UNEVEN * n // len(in_list)))
+        parts = [(i, max(1, -(-int(in_list[i]) // most)), max(1, -(-m // QUERIES_PER_GROUP))) for i, m in wanted.items()]
         splits = F.broadcast(spark.createDataFrame(parts, "list int, vs int, qs int"))
         # A crowded list is scanned in parts: every part of its vectors meets every part of its queries.
         mine = F.pmod(F.xxhash64("rid"), F.col("vs")).cast("int")
