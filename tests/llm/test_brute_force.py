@@ -66,8 +66,9 @@ def test_shards_of_awkward_and_crowded_rows(spark, documents):
     held = np.bincount([at[i] for i in range(40)], minlength=8)
     assert held.max() >= 12  # a whole shard of copies
     twice = sharding.shard_documents(documents(["a", "a", "b"], ids=[1, 1, None])).collect()
-    check_shards(twice, [(1, "a"), (1, "a"), (None, "b")]) if all(r["doc_id"] for r in twice) else None
-    assert len(twice) == 3 and sharding.shard_documents(documents([])).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text_crc32"]) for r in twice) == sorted([(1, zlib.crc32(b"a"))] * 2 + [(0, zlib.crc32(b"b"))])
+    assert len({r["shard"] for r in twice}) == 3 and {r["slot"] for r in twice} == {0}  # 3 rows, 8 shards, one each at most
+    assert sharding.shard_documents(documents([])).count() == 0
 
 
 def test_links_by_another_key(spark, documents):
@@ -158,6 +159,22 @@ def base_of(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+MIT = dict((label, text) for text, label in licenses.TEMPLATES)["mit-text"]
+
+
+def altered():
+    """Texts that hold templates whole, with other words here and there, twice, or in part."""
+    w = words(MIT)
+    other = [f"x{i}" if i % 19 == 7 else x for i, x in enumerate(w)]
+    more = [y for i, x in enumerate(w) for y in ([x, "put", "in"] if i % 40 == 11 else [x])]
+    less = [x for i, x in enumerate(w) if i % 23 != 5]
+    rng = np.random.default_rng(0)
+    filler = lambda n: " ".join(f"f{x}" for x in rng.integers(0, 10**6, n))
+    texts = [MIT, f"{filler(300)} {MIT}", f"{MIT} {filler(9)} {MIT}", *(f"{filler(50)} {' '.join(x)} {filler(50)}" for x in (other, more, less))]
+    texts += [" ".join(w[: len(w) // 2]), " ".join(sorted(w)), " ".join([x if i % 2 else "y" for i, x in enumerate(w)]), filler(500)]
+    return texts
+
+
 LICENSED = AWKWARD + [
     "Copyright X. ALL rights reserved. CC-BY cc by! all rights reserved",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this fine software and associated documentation files",
@@ -167,7 +184,7 @@ LICENSED = AWKWARD + [
 
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_license_base(spark, small, documents, which):
-    docs = table(spark, small, "documents") if which == "table" else documents(LICENSED)
+    docs = table(spark, small, "documents") if which == "table" else documents(LICENSED + altered())
     text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     rows = (queries.op3_licenses(spark, small) if which == "table" else licenses.license_report(docs)).collect()
     assert len(rows) == len(text)
@@ -178,6 +195,59 @@ def test_license_base(spark, small, documents, which):
         by = {r["doc_id"]: r for r in rows}
         assert by[len(AWKWARD) + 1]["labels"] == "mit" and by[len(AWKWARD) + 2]["labels"] == ""
         assert licenses.license_report(docs.limit(0)).count() == 0
+        twice = licenses.license_report(documents([MIT, MIT, MIT], ids=[1, 1, None])).collect()
+        assert len(twice) == 3 and len({r["labels"] for r in twice}) == 1
+
+
+def common_words(a, b):
+    """The length of the longest common subsequence."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        before = row.copy()
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+    return int(row[-1])
+
+
+def test_license_labels_by_alignment_everywhere(spark, documents):
+    """Labels and scores against every window of every text, for two templates given as a table."""
+    texts = altered() + ["one two three four five six seven eight nine ten", "a one two three four five SIX, seven eight nine", "one two three four five x y z nine ten", "one two three four five", None]
+    known = [(MIT, "mit-text"), ("One two three four five six seven eight nine ten", "ten"), ("!!", "none"), (None, "null"), ("x", None)]
+    rows = licenses.license_report(documents(texts), spark.createDataFrame(known, "text string, label string")).collect()
+    for r in rows:
+        w, labels, best = words(texts[r["doc_id"]]), set(), 0.0
+        for text, label in known[:2]:
+            t = words(text)
+            size = len(t) + 2 * licenses.DRIFT + 8  # words put in
+            share = max((common_words(w[i : i + size], t) for i in range(0, max(1, len(w)), 3)), default=0) / len(t)
+            whole = any(w[i : i + len(t)] == t for i in range(len(w)))
+            best = max(best, share)
+            if share >= licenses.COVERAGE:
+                labels.add(label)
+            assert not whole or r["score"] == 1
+        assert set(r["labels"].split(",")) - {""} == labels, (r["doc_id"], r["score"], best)
+        if labels:  # the alignment is no better than the best, and nearly as good
+            assert best - 0.08 <= r["score"] <= best + 1e-9
+
+
+def test_license_spans_and_their_grams(spark, documents):
+    texts = altered()
+    spans = {r["doc_id"]: [s for s in r["spans"] if s["label"] == "mit-text"] for r in licenses.scan_licenses(documents(texts)).collect()}
+    n = len(words(MIT))
+    assert [(s["first"], s["last"], s["coverage"]) for s in spans[0]] == [(0, n - 1, 1.0)]
+    assert [(s["first"], s["last"]) for s in spans[1]] == [(300, 300 + n - 1)]
+    assert sorted((s["first"], s["last"], s["verified"]) for s in spans[2]) == [(0, n - 1, True), (n + 9, 2 * n + 8, True)]
+    assert [len([s for s in spans[i] if s["verified"]]) for i in (3, 4, 5)] == [1, 1, 1]  # drifting diagonals are one span
+    assert not any(s["verified"] for i in (6, 7, 8, 9) for s in spans[i])
+    rng = np.random.default_rng(1)
+    some = [f"w{x}".encode() for x in rng.integers(0, 50, 200)]
+    grams = licenses.rolled(some, 3).tolist()
+    same = {}
+    for i, h in enumerate(grams):
+        assert same.setdefault(tuple(some[i : i + 3]), h) == h
+    assert len(set(same.values())) == len(same) and licenses.rolled(some[:2], 3).tolist() == []
+    with pytest.raises(ValueError, match="words"):
+        licenses.scan_licenses(documents(["x"]), templates=spark.createDataFrame([("w " * 200_001, "long")], "text string, label string"))
 
 
 # ---- near-duplicates ----
@@ -347,15 +417,46 @@ def test_mixing(spark, small, documents, which):
 
 def test_training_order_follows_the_schedules(spark, documents):
     docs = documents([f"w{i} " * 10 for i in range(300)], sources=["a", "b", "c"] * 100)
-    rows = curriculum.training_order(curriculum.curriculum(docs, ["doc_id", "source"])).collect()
+    rows = curriculum.training_order(docs, ["doc_id", "source"]).collect()
     places = [r["position"] for r in rows]
     assert places == sorted(places) and 0 < places[0] and places[-1] <= 1
     early = [r["source"] for r in rows if r["position"] < 0.25]
     late = [r["source"] for r in rows if r["position"] > 0.75]
     assert early.count("a") < late.count("a") and early.count("c") > late.count("c")
+    turned = curriculum.training_order(docs, ["doc_id", "source"], schedules={1: (1.5, 0.5), 3: (0.0, 2.0)}).collect()
+    early = [r["source"] for r in turned if r["position"] < 0.25]
+    late = [r["source"] for r in turned if r["position"] > 0.75]
+    assert early.count("a") > late.count("a") and early.count("c") < late.count("c")
+    assert sorted((r["doc_id"], r["words"]) for r in rows) == sorted((r["doc_id"], r["words"]) for r in turned)
+    # A whole schedule of one copy after the other: positions by bisection of its integral.
+    for (a, b), source in (((1.5, 0.5), "a"), ((0.0, 2.0), "c")):
+        demand = lambda t, a=a, b=b: (a * t + (b - a) * t * t / 2) / ((a + b) / 2)
+        own, at = [r for r in turned if r["source"] == source], 0
+        total = sum(r["words"] for r in own)
+        for r in own:
+            assert demand(r["position"]) == pytest.approx((at + r["words"] / 2) / total, abs=2e-3)
+            at += r["words"]
     assert curriculum.curriculum(documents([])).count() == 0
 
 
+def test_schedules_change_the_order_of_the_query(spark, small, monkeypatch):
+    before = [r["doc_id"] for r in queries.op5_mixing(spark, small).collect()]
+    monkeypatch.setattr(curriculum, "SCHEDULES", {1: (1.9, 0.1), 2: (0.3, 1.7)})
+    after = [r["doc_id"] for r in queries.op5_mixing(spark, small).collect()]
+    assert before != after and sorted(before) == sorted(after)
+
+
+def test_mixing_of_rows_of_one_id(spark, documents):
+    docs = documents([f"w{i} " * 10 for i in range(50)] + ["same text here"] * 10, ids=[None] * 30 + [7] * 30, sources=["a"] * 60)
+    rows = curriculum.curriculum(docs, ["doc_id", "size"]).collect()
+    assert sum(r["taken"] for r in rows) == 530 and len(rows) == 60 and {r["size"] for r in rows} == {"x"}
+    again = curriculum.curriculum(docs, ["doc_id", "size"]).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert curriculum.curriculum(docs.withColumn("mix_size", F.lit("y")), ["size", "mix_size", "copies"]).columns == [
+        "size", "mix_size", "copies", "mix_mix_size", "source_size", "target", "mix_copies", "taken"
+    ]
+
+
 # ---- decontamination ----
 
 
@@ -401,11 +502,28 @@ def test_decontamination_of_awkward_rows(spark, documents):
 
 
 def test_decontamination_without_a_broadcast(spark, documents, monkeypatch):
+    """By a shuffle, with items of all lengths and one word that makes up nine in ten."""
     item = "One two THREE four five six seven eight nine ten eleven twelve"
-    docs, bench = documents([item, f"a {item} b", "none"]), spark.createDataFrame([(1, item)], "item_id long, text string")
-    want = {r["doc_id"]: r["n_hit"] for r in decontaminate.decontaminate(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.decontaminate(docs, bench).collect()} == want == {0: 12, 1: 12, 2: 0}
+    items = [(1, item), (2, "the the"), (3, "the"), (4, "the the the the the the the the the the the one"), (5, "Seven"), (6, "été d'été")]
+    rng = np.random.default_rng(8)
+    texts = [item, f"a {item} b", "none", None, "", "the", "The THE end", "x seven", "l'été d ÉTÉ d été"]
+    texts += [" ".join(rng.choice(["the", "one", "w"], 300, p=[0.9, 0.05, 0.05])) for _ in range(30)] + ["the " * 20_000 + item]
+    docs, bench = documents(texts), spark.createDataFrame(items, "item_id long, text string")
+    want = {i: v[:3] for i, v in contamination(list(enumerate(texts)), items).items()}
+    for windows in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+        got = decontaminate.decontaminate(docs, bench).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in got} == want
+
+
+def test_hot_shingles_are_dealt_to_many_tasks(spark, documents):
+    docs = documents(["the " * 400 + str(i) for i in range(50)])
+    bench = spark.createDataFrame([(1, "the the the")], "item_id long, text string")
+    index = decontaminate.prefixes(docs, decontaminate.windows(bench), False)
+    met = decontaminate._met_by_shuffle(docs, index, False)
+    assert met.count() == 50 * 399
+    salts = [r["count"] for r in met.groupBy("_salt").count().collect()]
+    assert len(salts) == decontaminate.SALTS and max(salts) < 3 * 50 * 399 / decontaminate.SALTS
 
 
 # ---- nearest neighbours ----
@@ -533,9 +651,111 @@ def test_toxic_sentences_are_found(spark, documents):
     assert toxicity.fit(rows.limit(0)).weights == {} and toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def noisy_or(model, text):
+    """The score as the docstring of the module says it, sentence by sentence."""
+    none = 1 - model.leak
+    for sentence in re.split(r"[.!?\n]", low(text or "")):
+        known = [w for w in set(words(sentence)) if w in model.weights]
+        if known:
+            none *= 1 - 1 / (1 + np.exp(-model.bias - sum(model.weights[w] for w in known)))
+    return 1 - none
+
+
+def test_toxicity_scores_are_noisy_or(spark, documents):
+    model = toxicity.Model({"vermin": 2.5, "utter": 0.7, "été": 1.1}, -1.2, 0.03)
+    texts = AWKWARD + ["Utter VERMIN! vermin. utter? calm\nvermin vermin été", "utter utter. utter", "vermin." * 50]
+    rows = toxicity.score_documents(documents(texts), model).select("doc_id", "tox_score").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["tox_score"] == pytest.approx(noisy_or(model, texts[r["doc_id"]]), abs=1e-12)
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 12, 30))
+    bag_of = np.sort(rng.integers(0, 30, 60))
+    bags = toxicity.Bags(rng.integers(0, 2, 12), doc, bag_of, rng.integers(0, 5, 60), 5)
+    theta = rng.normal(0, 0.5, 7)
+    value, gradient = bags.likelihood(theta)
+    q, plain = 1 / (1 + np.exp(-theta[-1])), 0.0
+    for d, y in enumerate(bags.label):
+        none = 1 - q
+        for b in np.flatnonzero(doc == d):
+            none *= 1 - 1 / (1 + np.exp(-theta[-2] - sum(theta[w] for w in bags.word_of[bag_of == b])))
+        plain += np.log(1 - none if y else none) / 12
+    assert value == pytest.approx(plain, abs=1e-12)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        slope = (bags.likelihood(theta + step)[0] - bags.likelihood(theta - step)[0]) / 2e-6
+        assert gradient[i] == pytest.approx(slope, abs=1e-6)
+
+
+def test_toxicity_training_rows_are_bounded(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1_000)] + [(7, 1), (7, 0)], "doc_id long, toxic int")
+    docs = documents([f"text {i}" for i in range(1_000)] + ["b", "a"] * 300, ids=[*range(1_000)] + [7] * 600)
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert 20 < len(rows) < 90 and len({r["id"] for r in rows}) == len(rows)
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 5_000)
+    seven = [tuple(r) for r in toxicity.training_rows(docs, labels).collect() if r["id"] == 7]
+    assert seven == [(7, "a", 1)]
+
+
 # ---- quality ----
 
 
+def test_quality_posteriors_by_document():
+    """EM with a row per document, not per pattern of votes, in plain Python."""
+    rng = np.random.default_rng(0)
+    n = len(quality.LABELLERS)
+    seen = [[int(x) for x in rng.choice(3, n, p=[0.1, 0.1, 0.8] if i % 4 else [0.2, 0.5, 0.3])] for i in range(120)]
+    pattern = [sum(v * 3**j for j, v in enumerate(row)) for row in seen]
+    counts = defaultdict(int)
+    for p in pattern:
+        counts[p] += 1
+    got = quality.estimate(dict(counts), rounds=25)
+    prior = [[0.10, 0.02, 0.88], [0.20, 0.40, 0.40]]
+    chance = [[list(prior[c]) for _ in range(n)] for c in (0, 1)]
+    share = 0.8
+    for _ in range(25):
+        post = []
+        for row in seen:
+            a, b = share, 1 - share
+            for j, v in enumerate(row):
+                a, b = a * chance[0][j][v], b * chance[1][j][v]
+            post.append(a / (a + b))
+        share = min(0.99, max(0.5, sum(post) / len(post)))
+        for c in (0, 1):
+            for j in range(n):
+                held = [5 * x for x in prior[c]]
+                for row, p in zip(seen, post):
+                    held[row[j]] += p if c == 0 else 1 - p
+                chance[c][j] = [x / sum(held) for x in held]
+    for p, x in zip(pattern, post):
+        assert got[p] == pytest.approx(x, abs=1e-9)
+
+
+def test_quality_scores_are_those_of_the_scorer(spark, documents):
+    texts = AWKWARD + ["Plain words in a row. And some more of them.", "| | | ##", "A!! B!! c!! d!! e!!"]
+    scorer, posterior = quality.fit(documents(texts))
+    rows = quality.assess(documents(texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        at, x = quality.features(texts[r["doc_id"]])
+        z = scorer.bias + sum(scorer.weights[i] * v for i, v in zip(at, x))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r["keep"] == (r["score"] >= 0.5)
+        assert r["posterior"] == pytest.approx(posterior[r["pattern"]], abs=1e-9)
+
+
+def test_quality_samples_repeated_rows_one_by_one(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 200)
+    docs = documents(["the same text again and again"] * 1_000 + [f"other text number {i}" for i in range(1_000)], ids=[1] * 1_000 + [*range(1_000)])
+    n = [r["count"] for r in quality.sample(docs, 2_000).groupBy(F.size("slots").alias("s")).count().collect()]
+    assert 140 < sum(n) < 260
+    some = quality.sample(docs.where("doc_id = 1 and text like 'the same%'"), 1_000).count()
+    assert 140 < some < 260
+
+
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
@@ -570,14 +790,33 @@ def lines_of(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [28, 8])
+@pytest.mark.parametrize("bits", [30, 6])
 def test_lines(spark, small, documents, bits, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MAX_LOG_BITS", max(bits, 19))
+    if bits < 19:  # full filters, many prefixes, hashes sent in parts
+        for name, value in {"MIN_LOG_BITS": 12, "MAX_LOG_BITS": bits, "BITS_PER_LINE": 1, "PREFIX_LINES": 4, "HELD": 50}.items():
+            monkeypatch.setattr(line_dedup, name, value)
     docs = [(r["doc_id"], r["text"]) for r in table(spark, small, "documents").select("doc_id", "text").collect()]
     want = {i: (n, g, hashlib.sha256(k.encode()).hexdigest()) for i, k, n, g in lines_of(docs)}
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op10_line_dedup(spark, small).collect()} == want
 
 
+def test_repeats_alone_are_in_the_filter(spark, documents):
+    lines = [f"a line of its own, number {i}" for i in range(4_000)]
+    docs = documents(["\n".join(lines[i : i + 40]) for i in range(0, 4_000, 40)] + ["\n".join(lines[:400:10])])
+    log_bits, bits = line_dedup.twice_filter(docs)
+    seen = line_dedup.Bloom(log_bits, bits)
+    has = seen.has(np.array([xxhash.xxh64_intdigest(x.encode()) for x in lines], dtype=np.uint64))
+    assert has[:400:10].all() and has.sum() < 40 + 200
+
+
+def test_documents_without_suspects_are_not_shuffled(spark, documents):
+    docs = documents(["only here, a line\nand another one", None, "found in two texts\nx", "found in two texts"])
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 3 and "Union" in plan
+    biggest = line_dedup.dedup_lines(documents(["a line of text", "a line of text"], ids=[None, (1 << 63) - 1])).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in biggest} == {None: 1, (1 << 63) - 1: 0}
+
+
 def test_lines_of_awkward_rows(spark, documents):
     texts = AWKWARD + ["ÀÀÀÀÀÀÀÀÀÀ", "ÀÀÀÀÀÀÀÀÀÀ", "ÀÀÀÀÀÀÀÀÀ", "ÀÀÀÀÀÀÀÀÀ", "twice in one\nTWICE in one", "\ttwice in one\r"]
     got = sorted(tuple(r) for r in line_dedup.dedup_lines(documents(texts)).collect())

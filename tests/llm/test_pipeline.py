@@ -110,8 +110,53 @@ def test_mixing_writes_copies_in_the_order_of_training(spark, documents):
 def test_op5_gives_all_positions_in_order(spark):
     rows = queries.op5_mixing(spark, SMALL).collect()
     taken = [r for r in rows if r["taken"]]
-    assert rows[: len(taken)] == taken and [r["position"] for r in taken] == sorted(r["position"] for r in taken)
-    assert all(r["positions"][0] == r["position"] for r in taken) and max(len(r["positions"]) for r in rows) > 1
+    assert rows[: len(taken)] == taken and [r["position_1"] for r in taken] == sorted(r["position_1"] for r in taken)
+    assert any(r["position_3"] for r in rows)
+    assert all([x for x in r[-3:] if x is not None] == sorted(x for x in r[-3:] if x is not None) for r in taken)
+
+
+def test_schedules_change_the_order_of_the_stage(spark, documents, monkeypatch):
+    docs = documents([f"w{i} " * 10 for i in range(300)], sources=["a", "b", "c"] * 100)
+    before = [r["doc_id"] for r in stage("mixing")(spark, docs, SMALL).collect()]
+    monkeypatch.setattr(curriculum, "SCHEDULES", {1: (1.9, 0.1), 2: (0.3, 1.7)})
+    after = [r["doc_id"] for r in stage("mixing")(spark, docs, SMALL).collect()]
+    assert before != after and sorted(before) == sorted(after)
+
+
+AWKWARD = [None, "", " \n", "word " * 30_000, "Same text here.", "Same text here.", "Été à Paris, 😀", "\x00odd\x0bbytes"]
+
+
+def test_toxicity_stage(spark, documents, tmp_path):
+    clean = [f"alpha{i} beta gamma. delta{i} epsilon" for i in range(60)]
+    toxic = [f"alpha{i} beta gamma. you utter vermin {i}. end{i}" for i in range(60)]
+    texts = clean + toxic + AWKWARD
+    docs = documents(texts)
+    spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(120)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = stage("toxicity")(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows) == [*range(60), *range(120, len(texts))]
+    assert all((r["text"], r["tox_score"], r["_tox"], r["row"]) == (texts[r["doc_id"]], 77, 1, 6) for r in rows)
+
+
+def test_sharding_stage(spark, documents):
+    rows = stage("sharding")(spark, documents(AWKWARD * 5), SMALL).collect()
+    sizes = [sum(r["shard"] == s for r in rows) for s in range(8)]
+    assert len(rows) == 40 and set(sizes) == {5}
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(5)) for s in range(8))
+
+
+def test_all_stages_of_awkward_rows(spark, documents):
+    ids = [*range(len(AWKWARD)), *[None] * len(AWKWARD)]
+    docs = documents(AWKWARD * 2, ids=ids, sources=(["a", None, "b", "a"] * 4))
+    for name, f in corpus_pipeline.STAGES[:4]:
+        kept = f(spark, docs, SMALL)
+        rows = kept.collect()
+        assert kept.columns == docs.columns, name
+        assert {(r["doc_id"], r["text"], r["size"], r["_c"], r["mix_size"]) for r in rows} <= {(i, t, "x", 1, 2) for i, t in zip(ids, AWKWARD * 2)}, name
+        if name in ("toxicity", "benchmark_decontamination"):
+            assert len(rows) == len(ids), name
+    assert f is not None and {r["text"] for r in rows} == {t for t in AWKWARD if (t or "").split()}  # all words are taken somewhere
 
 
 def test_whole_pipeline(spark):

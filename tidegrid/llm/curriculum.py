@@ -1,8 +1,8 @@
 """Mixing sources to target weights along a time-varying curriculum, in DataFrame functions alone.
 
 Training time runs from 0 to 1. A source's weight follows a schedule; its integral, scaled to the source's
-target, is the cumulative demand for its words. The source's documents, in hashed order and repeated pass
-after pass, supply words; a copy is trained on when the demand reaches its middle, so its position is the
+target, is the cumulative demand for its words. The source's documents, in the order of their ids' MD5 and repeated
+pass after pass, supply words; a copy is trained on when the demand reaches its middle, so its position is the
 inverse of the demand there, and words that the demand never reaches aren't taken.
 """
 
@@ -15,7 +15,8 @@ from tidegrid.llm.common import cut
 
 #: A target stops at this many times its source's size, and so a document's copies.
 MAX_EPOCHS = 3
-#: Start and end of each weight's schedule as multiples of it; each integral over [0, 1] is 1.
+#: Start and end of the schedule of each weight, between which it is linear; only their ratio matters, as a
+#: schedule is scaled so that its integral over [0, 1] is the source's target. Other weights are constant.
 SCHEDULES = {1: (0.5, 1.5), 2: (1.0, 1.0), 3: (1.5, 0.5)}
 #: Rows that are summed up in one task when cumulative sizes are computed, on average.
 ROWS_PER_BUCKET = 2_000
@@ -50,42 +51,39 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _position(share: Column, weight: Column) -> Column:
+def _position(share: Column, weight: Column, schedules: dict[int, tuple[float, float]]) -> Column:
     """The time at which the integral of a linear schedule has reached ``share`` of its whole."""
     out = share
-    for w, (a, b) in SCHEDULES.items():
+    for w, (a, b) in schedules.items():
         if a != b:
-            root = F.sqrt(F.lit(a * a) + F.lit((b - a) * (a + b)) * share)
-            out = F.when(weight == w, (root - a) / (b - a)).otherwise(out)
+            root = F.sqrt(F.lit(float(a * a)) + F.lit(float((b - a) * (a + b))) * share)
+            out = F.when(weight == w, (root - F.lit(float(a))) / F.lit(float(b - a))).otherwise(out)
     return out
 
 
-def curriculum(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, copies and taken.
-
-    copies: array<struct<position, words>>, none to MAX_EPOCHS, the training time of each copy taken and its
-    words below the target; only the last copy that a source gives may be less than whole, so a source's
-    taken words are its target, rounded. taken: the words of all copies. The order within a source is that
-    of the id's hash, so reruns agree.
+def _laid(docs: DataFrame, keep: list[str], id_col: str, schedules: dict[int, tuple[float, float]] | None) -> DataFrame:
+    """(row, size, source_size, target, copies, taken); row: the columns to keep, as one struct.
 
-    keep: the columns to carry along (by default doc_id alone); where one has the name of a column made here,
-    that is called mix_ and its name. Null texts have size 0 and are never taken;
-    a null source is a source of its own; repeated rows are documents of their own; an empty table gives an
-    empty result.
+    A source's documents are laid end to end in buckets of the order, each in a window of its own.
     """
-    keep = [id_col] if keep is None else keep
+    schedules = SCHEDULES if schedules is None else schedules
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    content = F.md5(F.coalesce("text", F.lit("")))
+    # The first 28 bits, so that buckets lie in the order; rows of one id are told apart by their text.
+    digits = F.conv(F.substring(order, 1, 7), 16, 10).cast("long")
     sized = docs.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col("source").alias("source"),
         count_words(F.col("text")).alias("size"),
-        F.xxhash64(F.col(id_col)).alias("_h"),
-        F.xxhash64(F.col("text")).alias("_h2"),
+        order.alias("_h"),
+        content.alias("_h2"),
+        digits.alias("_digits"),
     )
     if "text" not in keep:
         sized = cut(sized, "mix-sizes")
     n = sized.count() if "text" not in keep else docs.count()
     buckets = max(16, -(-n // ROWS_PER_BUCKET))
-    sized = sized.withColumn("_bucket", F.pmod(F.col("_h"), F.lit(buckets)))
+    sized = sized.withColumn("_bucket", F.floor(F.col("_digits") * F.lit(buckets) / F.lit(1 << 28)))
     sums = cut(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("size")), "mix-sums")
     targets = cut(source_targets(sums), "mix-targets")
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,30 +101,59 @@ def curriculum(docs: DataFrame, keep: list[str] | None = None, id_col: str = "do
     ]
     middles = [F.col("_at") + F.lit(j) * F.col("source_size") + words[j] / 2 for j in range(MAX_EPOCHS)]
     share = [F.least(m / F.col("target"), F.lit(1.0)) for m in middles]
-    each = [F.struct(_position(share[j], F.col("weight")).alias("position"), words[j]) for j in range(MAX_EPOCHS)]
+    each = [F.struct(_position(share[j], F.col("weight"), schedules).alias("position"), words[j]) for j in range(MAX_EPOCHS)]
     copies = F.filter(F.array(*[F.when(words[j] > 0, each[j]) for j in range(MAX_EPOCHS)]), lambda c: c.isNotNull())
     placed = laid.withColumn("copies", copies)
     placed = placed.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda t, c: t + c["words"]))
-    made = [F.col(c).alias(_free(c, keep)) for c in ("size", "source_size", "target", "copies", "taken")]
-    return placed.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *made)
+    return placed.select("row", "size", "source_size", "target", "copies", "taken")
+
+
+def _free(names: list[str], columns: list[str]) -> dict[str, str]:
+    """The names under which columns made here go beside ``columns`` that are carried along: mix_ before what is taken."""
+    out: dict[str, str] = {}
+    for name in names:
+        free = name
+        while free in columns or free in out.values():
+            free = f"mix_{free}"
+        out[name] = free
+    return out
 
 
-def _free(name: str, columns: list[str]) -> str:
-    """The name under which a column of the result goes beside ``columns`` that are carried along."""
-    return name if name not in columns else f"mix_{name}"
+def curriculum(
+    docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", schedules: dict[int, tuple[float, float]] | None = None
+) -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target, copies and taken.
+
+    copies: array<struct<position, words>>, none to MAX_EPOCHS, the training time of each copy taken and its
+    words below the target; only the last copy that a source gives may be less than whole, so a source's
+    taken words are its target, rounded. taken: the words of all copies. The order within a source is that
+    of the id's MD5, then of the text's, so reruns agree. schedules: by weight, as in SCHEDULES, the default.
 
+    keep: the columns to carry along (by default doc_id alone); where one has the name of a column made here,
+    that gets mix_ before its name, as often as needed. Null texts have size 0 and are never taken; texts of
+    any length count whole; a null source is a source of its own; rows without an id go by their texts; ties
+    and repeated rows are documents of their own, side by side; an empty table gives an empty result.
+    """
+    keep = [id_col] if keep is None else keep
+    made = _free(["size", "source_size", "target", "copies", "taken"], keep)
+    return _laid(docs, keep, id_col, schedules).select("row.*", *[F.col(c).alias(name) for c, name in made.items()])
 
-def training_order(mixed: DataFrame) -> DataFrame:
+
+def training_order(
+    docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", schedules: dict[int, tuple[float, float]] | None = None
+) -> DataFrame:
     """A row per copy taken with its position and words, range-partitioned and sorted by position."""
-    return mixed.select("*", F.explode("copies").alias("_c")).select("*", "_c.position", "_c.words").drop("copies", "_c").orderBy("position")
+    keep = [id_col] if keep is None else keep
+    made = _free(["position", "words"], keep)
+    copies = _laid(docs, keep, id_col, schedules).select("row", F.explode("copies").alias("copy")).orderBy("copy.position")
+    return copies.select("row.*", *[F.col("copy")[c].alias(name) for c, name in made.items()])
 
 
-def whole_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of each document once for every copy of which at least half of the words are taken.
+def whole_copies(docs: DataFrame, schedules: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows of ``docs`` once for every copy of which at least half of the words are taken.
 
     Rows are range-partitioned and sorted by the copies' positions.
     """
-    size = F.col(_free("size", columns))
-    halves = F.filter(_free("copies", columns), lambda c: c["words"] * 2 >= size)
-    rows = mixed.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], F.explode(halves).alias("_c"))
-    return rows.orderBy("_c.position").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
+    laid = _laid(docs, docs.columns, "doc_id", schedules)
+    halves = F.filter("copies", lambda c: c["words"] * 2 >= F.col("size"))
+    return laid.select("row", F.explode(halves).alias("copy")).orderBy("copy.position").select("row.*")

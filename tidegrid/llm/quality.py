@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most documents that the scorer is trained on, chosen by the hash of their ids and texts.
+#: About so many documents are what the scorer is trained on at most; rows are chosen one by one at random.
 TRAIN_DOCS = 20_000
 #: Hashed features, steps and weight decay of the scorer.
 DIMS, STEPS, DECAY = 1 << 12, 300, 1e-3
@@ -30,6 +31,8 @@ FEW = 5
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
+SEED = 42
+
 _SHAPES = bytes(
     97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256)
 )
@@ -144,13 +147,20 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pattern": batch["pattern"], "slots": [a for a, _ in got], "values": [x for _, x in got]})
 
 
-def _descend(rows: list, posterior: dict[int, float]) -> Scorer:
+def sample(docs: DataFrame, n: int) -> DataFrame:
+    """(pattern, slots, values) of about TRAIN_DOCS of the ``n`` rows, repeated rows one by one as well."""
+    part = min(1.0, TRAIN_DOCS / max(1, n))
+    some = docs.select("text").where(F.rand(SEED) < part).withColumn("pattern", F.pandas_udf(_patterns, "int")("text"))
+    return some.select("pattern", "text").mapInPandas(_sample, "pattern int, slots array<int>, values array<double>")
+
+
+def _descend(rows: pa.Table, posterior: dict[int, float]) -> Scorer:
     """Logistic regression on soft labels by Adam."""
-    rows = sorted(rows, key=lambda r: (r["pattern"], r["slots"], r["values"]))
-    doc = np.array([i for i, r in enumerate(rows) for _ in r["slots"]], np.int64)
-    at = np.array([s for r in rows for s in r["slots"]], np.int64)
-    x = np.array([v for r in rows for v in r["values"]], float)
-    y = np.array([posterior[r["pattern"]] for r in rows])
+    slots, values = rows["slots"].combine_chunks(), rows["values"].combine_chunks()
+    doc = np.repeat(np.arange(len(rows)), slots.value_lengths().to_numpy(zero_copy_only=False))
+    at = slots.flatten().to_numpy()
+    x = values.flatten().to_numpy()
+    y = np.array([posterior[p] for p in rows["pattern"].to_pylist()])
     weight = np.where(y >= 0.5, 0.5 / max(1e-9, (y >= 0.5).sum()), 0.5 / max(1e-9, (y < 0.5).sum()))
     theta = np.zeros(DIMS + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -170,20 +180,14 @@ def fit(docs: DataFrame) -> tuple[Scorer, dict[int, float]]:
     voted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("pattern", pattern("text"))
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior = estimate(counts)
-    n = sum(counts.values())
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    part = min(1.0, TRAIN_DOCS / max(1, n))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    some = kept.where(chance < part).withColumn("pattern", pattern("text"))
-    rows = some.select("pattern", "text").mapInPandas(_sample, "pattern int, slots array<int>, values array<double>")
-    return _descend(rows.limit(2 * TRAIN_DOCS).collect(), posterior), posterior
+    return _descend(sample(docs, sum(counts.values())).toArrow(), posterior), posterior
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, pattern (votes, base 3), posterior, score (0 to 1, higher: better), keep.
 
-    Null and wordless texts get all abstentions and the scorer's bias; ties and repeated rows get equal
-    results; an empty table gives an empty result; other columns are ignored.
+    Null and wordless texts get all abstentions and the scorer's bias; texts of any length are read whole;
+    ties and repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     scorer, posterior = fit(docs)

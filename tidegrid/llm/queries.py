@@ -39,10 +39,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.curriculum(_table(spark, sf_dir, "documents"))
-    places = F.col("copies.position")
-    first = F.when(F.size("copies") > 0, F.element_at(places, 1)).alias("position")
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", first, places.alias("positions"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    places = [F.get(F.col("copies.position"), F.lit(i)).alias(f"position_{i + 1}") for i in range(curriculum.MAX_EPOCHS)]
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", *places)
+    return out.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,8 +121,9 @@ def linked(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def row_key() -> Column:
-    """A long that tells rows apart by doc_id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")), F.col("text").isNull())
+    """A digest that tells rows apart by doc_id and text."""
+    none = F.col("text").isNull().cast("string")
+    return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), none, F.coalesce("text", F.lit(""))))
 
 
 def survivors(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most labelled documents that are trained on, chosen by the hash of their ids.
+from tidegrid.llm.common import cut
+
+#: About so many labelled documents are trained on at most, chosen by the hash of their ids.
 TRAIN_DOCS = 20_000
 #: The most words that a model has, the distinct toxic sentences that each needs, and its least z score.
 MAX_WORDS, MIN_SENTENCES, MIN_Z = 4_096, 5, 4.0
@@ -93,27 +95,29 @@ def _bags(chosen: dict[str, int]):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out=None) -> DataFrame:
-    """(id, text, toxic) of at most TRAIN_DOCS labelled documents, those that ``held_out`` names left out.
+    """(id, text, toxic) of about TRAIN_DOCS labelled documents, those that ``held_out`` names left out.
 
-    A document with contradictory labels counts as toxic; rows without a doc_id or a label don't count.
+    A document with contradictory labels counts as toxic; rows without a doc_id or a label don't count. Of
+    rows that repeat a doc_id the least text is read, so there is a row for each id at most.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
         known = known.where(~held_out(F.col("_id")))
-    some = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
-    return texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("id"), "text", "toxic")
+    known = cut(known, "tox-labels")
+    part = int((1 << 30) * min(1.0, TRAIN_DOCS / max(1, known.count())))
+    some = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), "_id")
+    return texts.groupBy(F.col("_id").alias("id")).agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(rows: DataFrame) -> Model:
     """A model of (id, text, toxic). Without rows of both labels it scores every text alike."""
-    rows = rows.persist()
+    rows = cut(rows, "tox-rows")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     leak = min(0.3, (n1 + 0.5) / (n1 + n0 + 1))
     if not n1 or not n0:
-        rows.unpersist()
         return Model({}, 0.0, leak)
     words = _counted(rows.where("toxic = 1"), "a").where(F.col("a") >= MIN_SENTENCES)
     clean = _counted(rows.where("toxic = 0"), "b", words.select("word"))
@@ -125,31 +129,46 @@ def fit(rows: DataFrame) -> Model:
     index = {w: i for i, w in enumerate(chosen)}
     bags = rows.mapInPandas(_bags(index), "id long, toxic int, bags array<array<int>>")
     data = bags.toArrow().sort_by("id")  # TRAIN_DOCS rows at most, of a few words each
-    rows.unpersist()
     return _ascend(chosen, data, leak)
 
 
+@dataclass(frozen=True)
+class Bags:
+    """Documents' labels and, word by word, which document's sentence holds which word."""
+
+    label: np.ndarray  # of each document
+    doc: np.ndarray  # of each bag, that is, sentence
+    bag_of: np.ndarray  # of each word in a bag
+    word_of: np.ndarray
+    words: int
+
+    def likelihood(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """(mean log-likelihood of the labels, its gradient); theta: words' weights, bias, logit of the leak."""
+        n, m = len(self.label), len(self.doc)
+        x = theta[-2] + np.bincount(self.bag_of, theta[self.word_of], m)
+        p, q = 1 / (1 + np.exp(-x)), 1 / (1 + np.exp(-theta[-1]))
+        none = np.log1p(-q) + np.bincount(self.doc, -np.logaddexp(0, x), n)  # log of no toxic sentence
+        some = np.maximum(-np.expm1(none), 1e-9)
+        pull = np.where(self.label == 1, np.exp(none) / some, -1.0)  # d likelihood / d(-none)
+        gb = pull[self.doc] * p
+        gradient = np.concatenate([np.bincount(self.word_of, gb[self.bag_of], self.words), [gb.sum(), (pull * q).sum()]]) / n
+        return float(np.where(self.label == 1, np.log(some), none).sum() / n), gradient
+
+
 def _ascend(chosen: list[str], data: pa.Table, leak: float) -> Model:
     """Gradient ascent (Adam) on the noisy-or likelihood of the documents' labels."""
-    label = data["toxic"].combine_chunks().to_numpy()
     per_doc = data["bags"].combine_chunks()
-    doc = np.repeat(np.arange(len(label)), per_doc.value_lengths().to_numpy(zero_copy_only=False))
     per_bag = per_doc.flatten()
+    label = data["toxic"].combine_chunks().to_numpy()
+    doc = np.repeat(np.arange(len(label)), per_doc.value_lengths().to_numpy(zero_copy_only=False))
     bag_of = np.repeat(np.arange(len(per_bag)), per_bag.value_lengths().to_numpy(zero_copy_only=False))
-    word_of = per_bag.flatten().to_numpy()
-    n, m_bags = len(label), len(per_bag)
-    theta = np.zeros(len(chosen) + 2)  # weights, bias, logit of the leak
+    bags = Bags(label, doc, bag_of, per_bag.flatten().to_numpy(), len(chosen))
+    theta = np.zeros(len(chosen) + 2)
     theta[-2], theta[-1] = -1.0, np.log(leak / (1 - leak))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        x = theta[-2] + np.bincount(bag_of, theta[word_of], m_bags)
-        p, q = 1 / (1 + np.exp(-x)), 1 / (1 + np.exp(-theta[-1]))
-        none = np.log1p(-q) + np.bincount(doc, -np.logaddexp(0, x), n)  # log of no toxic sentence
-        some = np.maximum(-np.expm1(none), 1e-9)
-        pull = np.where(label == 1, np.exp(none) / some, -1.0)  # d likelihood / d(-none)
-        gb = pull[doc] * p
-        g = np.concatenate([np.bincount(word_of, gb[bag_of], len(chosen)), [gb.sum(), (pull * q).sum()]]) / n
-        g[:-2] -= DECAY / n * theta[:-2]
+        g = bags.likelihood(theta)[1]
+        g[:-2] -= DECAY / len(label) * theta[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     weights = {w: float(t) for w, t in zip(chosen, theta[:-2]) if t > 0}
@@ -159,8 +178,9 @@ def _ascend(chosen: list[str], data: pa.Table, leak: float) -> Model:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, and tox_score (0 to 1) and tox_sentences (those that make up the score).
 
-    Texts are scored whole. Null and empty texts get the leak alone; repeated rows get equal scores; an
-    empty table gives an empty result. Columns of ``docs`` with the two names are replaced.
+    Texts of any length are scored whole. Null and empty texts get the leak alone; repeated rows get equal
+    scores; an empty table gives an empty result. Of the columns of ``docs`` those with the two names are left
+    out; to keep them, pack the row into a struct beside ``text``.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # MAX_WORDS at most
@@ -173,8 +193,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"score": [s for s, _ in got], "sentences": found})
 
     run = F.pandas_udf(score, "score double, sentences array<struct<place:int,score:double,text:string>>")
-    scored = docs.withColumn("_tox", run(F.col("text")))
-    return scored.withColumns({"tox_score": F.col("_tox.score"), "tox_sentences": F.col("_tox.sentences")}).drop("_tox")
+    scored = docs.select(F.struct("*").alias("row"), run(F.col("text")).alias("found"))
+    made = {"tox_score": "score", "tox_sentences": "sentences"}
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in made]
+    return scored.select(*own, *[F.col("found")[f].alias(c) for c, f in made.items()])
 
 
 def held_out(doc_id):
