@@ -1,10 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions alone.
 
 Every benchmark item is cut into windows of consecutive words. A document holds a window only if it holds
-all of the window's words, so it is enough to look for one of them: words are ordered by how often they occur
-in the documents, and the rarest of each window is its prefix. Document words are joined with the prefixes,
-candidates that would start before the text or end behind it are dropped, and the rest are compared word by
-word with the window at that place.
+all of the window's shingles (two neighbouring words), so that a prefix of one is necessary and enough:
+shingles are ordered by how often they occur in the documents, and the rarest of each window is its prefix.
+Document shingles are joined with the prefixes, candidates that would start before the text or end behind it
+are dropped, and the rest are compared word by word with the window at that place.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from tidegrid.llm.common import cut
 
 #: Words of a window; shorter items are one window.
 WINDOW = 10
-#: Up to so many windows are broadcast (about 60 MB); more are joined by a shuffle of the words.
+#: Up to so many windows are broadcast (about 60 MB); more are joined by a shuffle of the shingles.
 BROADCAST_WINDOWS = 200_000
+#: In a shuffle, shingles with one in so many of all words at least are dealt to SALTS tasks.
+HOT_SHARE, SALTS = 1_000, 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words, before lower-casing: ASCII other than letters and digits.
@@ -48,38 +50,67 @@ def _doc_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("_h"), raw_words(F.col("text")).alias("_w"))
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """A row per document word; its join key is lower-cased by all of Unicode, which merges no fewer words."""
-    words = _doc_words(docs).select("doc_id", "_h", "_w", F.posexplode("_w").alias("_at", "_word"))
-    return words.withColumn("_key", F.lower("_word"))
+def _keyed(rows: DataFrame, singles: bool) -> DataFrame:
+    """``rows`` with ``_keys``: the hashes of the shingles of ``_w``, and behind them, if ``singles``, of its words.
 
+    For hashing, words are lower-cased by all of Unicode, which merges no fewer.
+    """
+    low = rows.withColumn("_l", F.transform("_w", lambda w: F.lower(w)))
+    n = F.greatest(F.size("_l") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_l", F.lit(1), n), F.slice("_l", F.lit(2), n), lambda x, y: F.xxhash64(x, y))
+    alone = F.transform("_l", lambda x: F.xxhash64(x))
+    return low.withColumn("_keys", F.concat(pairs, alone) if singles else pairs).drop("_l")
+
+
+def _exploded(docs: DataFrame, singles: bool) -> DataFrame:
+    """A row per document shingle, and word if ``singles``: doc_id, _h, _w, _key and its place _at."""
+    rows = _keyed(_doc_words(docs), singles).select("doc_id", "_h", "_w", F.posexplode("_keys").alias("_pos", "_key"))
+    n = F.greatest(F.size("_w") - 1, F.lit(0))
+    return rows.select("doc_id", "_h", "_w", "_key", F.when(F.col("_pos") < n, F.col("_pos")).otherwise(F.col("_pos") - n).alias("_at"))
 
-def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """Each window (text, n words) with its rarest word over all documents: _key, and its place _off."""
-    each = wins.select("text", F.size("words").alias("n"), F.posexplode("words").alias("_off", "_word")).withColumn("_key", F.lower("_word"))
-    each = each.dropDuplicates(["text", "_off"])
+
+def prefixes(docs: DataFrame, wins: DataFrame, singles: bool) -> DataFrame:
+    """Each window (text, n words) with its rarest shingle over all documents: _key, and its place _off."""
+    each = wins.select("text", F.size("words").alias("n"), F.col("words").alias("_w")).dropDuplicates(["text"])
+    each = _keyed(each, True).drop("_w").select("text", "n", F.posexplode("_keys").alias("_off", "_key"))
+    each = cut(each.where((F.col("n") == 1) | (F.col("_off") < F.col("n") - 1)), "decon-shingles")
     vocabulary = each.select("_key").distinct()
-    met = _exploded(docs).select("_key")
-    met = met.join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_WINDOWS else vocabulary, "_key")
+    met = _exploded(docs, singles).select("_key")
+    if vocabulary.count() <= BROADCAST_WINDOWS:
+        met = met.join(F.broadcast(vocabulary), "_key", "left_semi")
     counts = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
     ranked = each.join(counts, "_key", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
     best = F.min(F.struct("_df", "_off", "_key")).alias("_best")
     return ranked.groupBy("text", "n").agg(best).select("text", "n", F.col("_best._key").alias("_key"), F.col("_best._off").alias("_off"))
 
 
+def _met_by_shuffle(docs: DataFrame, index: DataFrame, singles: bool) -> DataFrame:
+    """The rows of ``_exploded`` joined with ``index``, without their words; a hot shingle is dealt to SALTS tasks."""
+    rows = _exploded(docs, singles).select("doc_id", "_h", F.size("_w").alias("_n"), "_at", "_key")
+    least = (docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // (8 * HOT_SHARE) + 1  # 8 characters a word
+    hot = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= least).select("_key", F.lit(True).alias("_hot"))
+    hot = F.broadcast(cut(hot, "decon-hot"))  # some thousand at most
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id", "_h", "_at"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, "_key", "left").withColumn("_salt", salt).drop("_hot")
+    right = index.join(hot, "_key", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, ["_key", "_salt"])
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _h, start, n, text) of every window found, and the windows (item_id, text)."""
     wins = cut(windows(benchmark), "decon-windows")
-    index = cut(prefixes(docs, wins), "decon-prefixes")
+    singles = not wins.where(F.size("words") == 1).isEmpty()
+    index = cut(prefixes(docs, wins, singles), "decon-prefixes")
     start = F.col("_at") - F.col("_off")
-    bounds = (start >= 0) & (start + F.col("n") <= F.size("_w"))
     same = ascii_lower(F.array_join(F.slice("_w", start + 1, F.col("n")), " ")) == F.col("text")
     if index.count() <= BROADCAST_WINDOWS:
-        found = _exploded(docs).join(F.broadcast(index), "_key").where(bounds & same)
+        bounds = (start >= 0) & (start + F.col("n") <= F.size("_w"))
+        found = _exploded(docs, singles).join(F.broadcast(index), "_key").where(bounds & same)
     else:
-        rows = _exploded(docs).select("doc_id", "_h", F.size("_w").alias("_n"), "_at", "_key").join(index, "_key")
-        rows = rows.where((start >= 0) & (start + F.col("n") <= F.col("_n"))).drop("_n", "_key")
-        texts = _doc_words(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_h3")
+        rows = _met_by_shuffle(docs, index, singles)
+        rows = rows.where((start >= 0) & (start + F.col("n") <= F.col("_n"))).drop("_n", "_key", "_salt")
+        texts = _doc_words(docs).dropDuplicates(["doc_id", "_h"]).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_h3")
         found = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h3"))).where(same)
     return cut(found.select("doc_id", "_h", start.alias("start"), "n", "text").distinct(), "decon-found"), wins.select("item_id", "text").distinct()
 
@@ -89,8 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words: runs of 0-9, a-z (A-Z are lower-cased) and anything beyond ASCII. Null texts have no words; items
     without words are ignored, an item with a null id is called 'null', and items of one id count once.
-    Repeated rows get equal results. With an empty benchmark nothing is hit; an empty table gives an empty
-    result; other columns are ignored.
+    Texts of any length are read whole. Repeated rows get equal results. With an empty benchmark nothing is
+    hit; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     found, wins = occurrences(docs, benchmark)
     end = F.col("start") + F.col("n")
