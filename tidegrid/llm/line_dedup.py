@@ -1,9 +1,11 @@
 """Line dedup with two Bloom filters.
 
-Each scan task puts the hashes of its documents' lines into a filter of lines seen once and one of lines
-seen twice, and the filters of all tasks are merged segment by segment: what two tasks have both seen once is
-seen twice. Lines that the merged filter holds are suspected repeats. Only those are shuffled, by their exact
-text, to confirm that several documents hold them and to choose the first. A full filter only suspects more.
+Each scan task hashes its documents' lines and sends the distinct hashes to the owners of their prefixes. An
+owner keeps a Bloom filter of the hashes of its prefix seen once; what it sees again is a suspected repeat and
+goes into the filter of lines seen twice. As prefixes get more numerous with the lines, no filter of lines seen
+once fills up, whatever the size; the other holds repeats alone. Lines that it holds are shuffled, by their
+exact text, to confirm that several documents hold them and to choose the first. Only documents with such lines
+are shuffled to be cut; the others leave the scan as they are.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from tidegrid.llm.common import cut, join_counted
 
 #: Keys of fewer code points are never dropped.
 MIN_CHARS = 10
-#: Bits of a filter for each line, and the most bits it gets (32 MB); beyond, more lines are suspected.
-BITS_PER_LINE, MIN_LOG_BITS, MAX_LOG_BITS = 16, 19, 28
-#: Bytes of a filter that are merged at a time.
+#: Bits of a filter for each line, and the lines of a prefix, at least on average and at most (64 MB).
+BITS_PER_LINE, PREFIX_LINES, MIN_LOG_PREFIXES = 16, 1 << 25, 6
+#: Bits of the filter of repeats: at least, and at most (128 MB; beyond, more lines are suspected).
+MIN_LOG_BITS, MAX_LOG_BITS = 19, 30
+#: Bytes of that filter that are merged at a time.
 SEGMENT = 1 << 16
+#: Hashes that a scan task holds before it sends them.
+HELD = 1 << 20
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -48,7 +54,7 @@ class Bloom:
         self.bits = np.zeros(size, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
     def _places(self, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        at = [hashes & self.mask, (hashes >> np.uint64(32)) & self.mask]
+        at = [hashes & self.mask, (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & self.mask]
         return [((x >> np.uint64(3)).astype(np.int64), np.left_shift(1, (x & np.uint64(7)).astype(np.uint8)).astype(np.uint8)) for x in at]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
@@ -60,90 +66,146 @@ class Bloom:
             np.bitwise_or.at(self.bits, a, x)
 
 
-def _build(log_bits: int):
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = Bloom(log_bits), Bloom(log_bits)
+def _hashes(log_prefixes: int):
+    """Rows (prefix, once, twice): packed hashes of lines that one, or more, of a batch of documents hold."""
+
+    def parts(each: list[int]) -> pd.DataFrame:
+        values, counts = np.unique(np.array(each, dtype=np.uint64), return_counts=True)
+        prefix = (values >> np.uint64(64 - log_prefixes)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(values) else []
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(values)]):
+            more = counts[a:b] > 1
+            rows.append((int(prefix[a]), values[a:b][~more].tobytes(), values[a:b][more].tobytes()))
+        return pd.DataFrame(rows, columns=["prefix", "once", "twice"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[int] = []
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                each = [
-                    xxhash.xxh64_intdigest(k)
-                    for t in batch["text"].iloc[i : i + 256]
-                    for k in set(line_keys(t))
-                    if long_enough(k)
-                ]
-                values, counts = np.unique(np.array(each, dtype=np.uint64), return_counts=True)
-                twice.add(values[(counts > 1) | once.has(values)])
-                once.add(values)
-        for at in range(0, len(once.bits), SEGMENT):
-            part = once.bits[at : at + SEGMENT]
+            for text in batch["text"]:
+                held += [xxhash.xxh64_intdigest(k) for k in set(line_keys(text)) if long_enough(k)]
+                if len(held) >= HELD:
+                    yield parts(held)
+                    held = []
+        yield parts(held)
+
+    return scan
+
+
+def _repeats(log_bits: int):
+    """Rows (prefix, hashes): those of a prefix that come more than once, and some few of those that don't."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, Bloom] = {}
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for prefix, *packed in batch[["prefix", "once", "twice"]].itertuples(index=False):
+                once, twice = (np.frombuffer(x, np.uint64) for x in packed)
+                of = seen.setdefault(prefix, Bloom(log_bits))
+                again = np.concatenate([once[of.has(once)], twice])
+                of.add(once)
+                of.add(twice)
+                if len(again):
+                    found[prefix] = np.union1d(found.get(prefix, again), again)
+        for prefix, hashes in found.items():
+            yield pd.DataFrame({"prefix": [prefix], "hashes": [hashes.tobytes()], "n": [len(hashes)]})
+
+    return merge
+
+
+def _fill(log_bits: int):
+    """The segments of a filter of the hashes that a task has."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Bloom(log_bits)
+        for batch in batches:
+            for packed in batch["hashes"]:
+                of.add(np.frombuffer(packed, np.uint64))
+        for at in range(0, len(of.bits), SEGMENT):
+            part = of.bits[at : at + SEGMENT]
             if part.any():
-                parts = [zlib.compress(x.tobytes(), 1) for x in (part, twice.bits[at : at + SEGMENT])]
-                yield pd.DataFrame({"seg": [at // SEGMENT], "once": [parts[0]], "twice": [parts[1]]})
+                yield pd.DataFrame({"seg": [at // SEGMENT], "bits": [zlib.compress(part.tobytes(), 1)]})
 
-    return build
+    return fill
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge the parts of each segment as they come; memory: the partition's share of one filter pair."""
-    held: dict[int, list[np.ndarray]] = {}
+    """One filter of several, segment by segment; memory: the partition's share of one."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for seg, *parts in batch[["seg", "once", "twice"]].itertuples(index=False):
-            once, twice = (np.frombuffer(zlib.decompress(x), np.uint8).copy() for x in parts)
-            if seg in held:
-                o, t = held[seg]
-                t |= twice | (o & once)
-                o |= once
-            else:
-                held[seg] = [once, twice]
-    for seg, (_, twice) in held.items():
-        if twice.any():
-            yield pd.DataFrame({"seg": [seg], "twice": [zlib.compress(twice.tobytes(), 1)]})
+        for seg, bits in batch[["seg", "bits"]].itertuples(index=False):
+            part = np.frombuffer(zlib.decompress(bits), np.uint8)
+            held[seg] = held[seg] | part if seg in held else part
+    for seg, part in held.items():
+        yield pd.DataFrame({"seg": [seg], "bits": [zlib.compress(part.tobytes(), 1)]})
 
 
 def twice_filter(docs: DataFrame) -> tuple[int, bytes]:
     """(log2 of its bits, the filter) of line hashes that several documents may hold."""
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).alias("n")).first()["n"] or 0
-    log_bits = min(MAX_LOG_BITS, max(MIN_LOG_BITS, (BITS_PER_LINE * int(lines)).bit_length()))
-    parts = docs.select("text").mapInPandas(_build(log_bits), "seg long, once binary, twice binary")
-    merged = parts.repartition("seg").mapInPandas(_merge, "seg long, twice binary")
+    log_prefixes = max(MIN_LOG_PREFIXES, (int(lines) // PREFIX_LINES).bit_length())
+    per_prefix = max(MIN_LOG_BITS - MIN_LOG_PREFIXES, (BITS_PER_LINE * int(lines) >> log_prefixes).bit_length())
+    parts = docs.select("text").mapInPandas(_hashes(log_prefixes), "prefix long, once binary, twice binary")
+    repeats = cut(parts.repartition("prefix").mapInPandas(_repeats(per_prefix), "prefix long, hashes binary, n long"), "line-hashes")
+    n = repeats.agg(F.sum("n").alias("n")).first()["n"] or 0
+    log_bits = min(MAX_LOG_BITS, max(MIN_LOG_BITS, (BITS_PER_LINE * int(n)).bit_length()))
+    filled = repeats.select("hashes").mapInPandas(_fill(log_bits), "seg long, bits binary")
     bits = bytearray((1 << log_bits) // 8)
-    for r in merged.toLocalIterator():  # of fixed size, whatever the input
-        data = zlib.decompress(r["twice"])
+    for r in filled.repartition("seg").mapInPandas(_merge, "seg long, bits binary").toLocalIterator():  # of bounded size
+        data = zlib.decompress(r["bits"])
         bits[r["seg"] * SEGMENT : r["seg"] * SEGMENT + len(data)] = data
     return log_bits, bytes(bits)
 
 
-def _suspects(shared, log_bits: int):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _suspected(seen: Bloom, texts: list[str | None]) -> list[list[tuple[bytes, list[int]]]]:
+    """For each text its keys that the filter holds, with the places of their lines."""
+    owner: list[int] = []
+    keys: list[bytes] = []
+    places: list[list[int]] = []
+    for j, text in enumerate(texts):
+        at: dict[bytes, list[int]] = {}
+        for n, k in enumerate(line_keys(text)):
+            at.setdefault(k, []).append(n)
+        for k, where in at.items():
+            if long_enough(k):
+                owner.append(j)
+                keys.append(k)
+                places.append(where)
+    out: list[list[tuple[bytes, list[int]]]] = [[] for _ in texts]
+    for x in np.flatnonzero(seen.has(np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64))):
+        out[owner[x]].append((keys[x], places[x]))
+    return out
+
+
+def _batched(shared, log_bits: int, make):
+    """``make`` of 256 rows at a time and what is suspected in each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Bloom(log_bits, shared.value)
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.iloc[i : i + 256]
-                owner: list[int] = []
-                keys: list[bytes] = []
-                places: list[list[int]] = []
-                for j, text in enumerate(part["text"]):
-                    at: dict[bytes, list[int]] = {}
-                    for n, k in enumerate(line_keys(text)):
-                        at.setdefault(k, []).append(n)
-                    for k, where in at.items():
-                        if long_enough(k):
-                            owner.append(j)
-                            keys.append(k)
-                            places.append(where)
-                hit = np.flatnonzero(seen.has(np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)))
-                if len(hit):
-                    rows = part.iloc[[owner[x] for x in hit]]
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": rows["doc_id"].to_numpy(),
-                            "h": rows["h"].to_numpy(),
-                            "key": [keys[x].decode() for x in hit],
-                            "lines": [places[x] for x in hit],
-                        }
-                    )
-
-    return find
+                made = make(part, _suspected(seen, part["text"].tolist()))
+                if len(made):
+                    yield made
+
+    return run
+
+
+def _suspects(part: pd.DataFrame, found: list) -> pd.DataFrame:
+    at = [j for j, f in enumerate(found) for _ in f]
+    rows = part.iloc[at][["doc_id", "no_id", "h"]]
+    return rows.assign(key=[k.decode() for f in found for k, _ in f], lines=pd.Series([p for f in found for _, p in f], rows.index, object))
+
+
+def _untouched(part: pd.DataFrame, found: list) -> pd.DataFrame:
+    rows = part[[not f for f in found]]
+    kept = rows["text"].fillna("")
+    return rows[["doc_id", "no_id"]].assign(kept=kept, n_lines=kept.str.count("\n") + 1, n_dropped=0)
+
+
+def _touched(part: pd.DataFrame, found: list) -> pd.DataFrame:
+    return part[[bool(f) for f in found]]
 
 
 def _drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +217,7 @@ def _drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
             kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text or "")
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "kept": kept, "n_lines": n_lines, "n_dropped": n_dropped})
+        yield batch[["doc_id", "no_id"]].assign(kept=kept, n_lines=n_lines, n_dropped=n_dropped)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -163,22 +225,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A key (the line stripped of ASCII white space, A-Z lower-cased) of MIN_CHARS code points that several
     documents hold stays only in the one with the smallest doc_id, all its lines there included. Null and
-    empty texts are one empty line. A null doc_id counts as the largest; rows that repeat a doc_id are one
-    document when lines are compared, and each keeps its own text. An empty table gives an empty result;
-    other columns are ignored.
+    empty texts are one empty line; texts of any length are read whole. A null doc_id counts as the largest;
+    rows that repeat a doc_id are one document when lines are compared, and each keeps its own text. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
-    last = F.lit((1 << 63) - 1)
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.xxhash64("text").alias("h"), "text")
     log_bits, bits = twice_filter(rows)
     shared = spark.sparkContext.broadcast(bits)
-    found = rows.mapInPandas(_suspects(shared, log_bits), "doc_id long, h long, key string, lines array<int>")
-    found = cut(found, "line-suspects")
-    held = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    ids, result = "doc_id long, no_id boolean", "kept string, n_lines long, n_dropped long"
+    found = cut(rows.mapInPandas(_batched(shared, log_bits, _suspects), f"{ids}, h long, key string, lines array<int>"), "line-suspects")
+    who = F.struct("no_id", "doc_id")
+    held = found.groupBy("key").agg(F.min(who).alias("first"), F.max(who).alias("_last"), F.count(F.lit(1)).alias("_n"))
     repeats = cut(held.where("first < _last").drop("_last"), "line-repeats")
     met = join_counted(found, repeats, "key", "_n", found.count())
-    drops = met.where("doc_id > first").select("doc_id", "h", "lines").distinct()
-    drops = drops.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("lines")).alias("drops"))
-    marked = rows.join(drops, ["doc_id", "h"], "left").select("doc_id", "text", "drops")
-    out = marked.mapInPandas(_drop, "doc_id long, kept string, n_lines long, n_dropped long")
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), last))
+    drops = met.where(who > F.col("first")).select("doc_id", "no_id", "h", "lines").distinct()
+    drops = drops.groupBy("doc_id", "no_id", "h").agg(F.flatten(F.collect_list("lines")).alias("drops"))
+    touched = rows.mapInPandas(_batched(shared, log_bits, _touched), f"{ids}, h long, text string")
+    marked = touched.join(drops, ["doc_id", "no_id", "h"], "left").select("doc_id", "no_id", "text", "drops")
+    out = marked.mapInPandas(_drop, f"{ids}, {result}")
+    out = out.unionByName(rows.mapInPandas(_batched(shared, log_bits, _untouched), f"{ids}, {result}"))
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "kept", "n_lines", "n_dropped")
