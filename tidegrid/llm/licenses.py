@@ -1,148 +1,186 @@
 """License scans by diagonal voting.
 
-All word k-grams of a text are rolled over; those that consist of template words go on with their hash. A
-Spark join brings each to the template positions with that hash, and its diagonal, the place in the text less
-the place in the template, gets a vote. Neighbouring diagonals, as left by words put in or left out, are
-merged, and a merged diagonal is a license span if its grams, compared as text, cover enough of the template's words.
+All word k-grams of a text are rolled over and hashed. A Spark join brings each to the template positions with
+that hash, and its diagonal, the place in the text less the place in the template, gets a vote. Neighbouring
+diagonals, as left by words put in or left out, are merged. A merged diagonal with enough votes is verified: the
+words between its ends are aligned with the template's, and it is a license span if enough of these are met.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import cut
-
-# Phrases that are looked for word by word, and their labels.
-BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-
-# The wording of public licenses and notices, and labels for them.
-TEMPLATES = [
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("under the terms of the gnu lesser general public license", "lgpl"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-]
+from tidegrid.llm.license_texts import BASE, TEMPLATES
 
 #: Words of a gram of the templates; shorter templates and all base phrases are one gram.
 GRAM = 5
 #: Diagonals that differ by so many words at most are merged.
 DRIFT = 3
-#: Share of a template's words that a license span's grams cover.
-COVERAGE = 0.8
+#: Share of a template's words that the grams of a merged diagonal cover at least, to be verified; and that
+#: a license span meets in the template's order.
+VOTED, COVERAGE = 0.3, 0.8
+#: The templates are broadcast, and may have so many words in all.
+MAX_TEMPLATE_WORDS = 200_000
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode().lower())
+
+
+def rolled(words: list[bytes], k: int) -> np.ndarray:
+    """The hash of each k-gram, made of its words' hashes."""
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(0, len(words) - k + 1)
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = (out * _FACTOR) + (each[i : i + n] ^ (out >> np.uint64(29)))
+    return out
+
 
+def default_templates(spark: SparkSession) -> DataFrame:
+    """(text, label) of the licenses and notices of license_texts.py."""
+    return spark.createDataFrame(TEMPLATES, "text string, label string")
 
-def _gram_hash(words: list[bytes]) -> int:
-    """64 bits, signed."""
-    h = xxhash.xxh64_intdigest(b" ".join(words), 42)
-    return h - (1 << 64) if h >> 63 else h
 
+def _known(templates: DataFrame | None) -> list[tuple[list[bytes], str, bool]]:
+    """(words, label, whether a base phrase) of all templates; those without words, and repeats, are left out."""
+    rows = TEMPLATES if templates is None else [(r["text"], r["label"]) for r in templates.select("text", "label").limit(MAX_TEMPLATE_WORDS + 1).collect()]
+    out = [(words_of(t), label, True) for t, label in BASE]
+    for text, label in sorted(set(rows), key=str):
+        if label and words_of(text):
+            out.append((words_of(text), label, False))
+    if sum(len(w) for w, _, _ in out) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
+    return out
 
-def template_rows() -> list[tuple[int, str, bool, int, int, int, str, int]]:
-    """(template, label, base, place, k, hash, gram, grams in all) of every gram of every template."""
-    rows = []
-    for i, (text, label) in enumerate(BASE + TEMPLATES):
-        words = text.encode().split()
-        k = len(words) if i < len(BASE) else min(GRAM, len(words))
-        for at in range(len(words) - k + 1):
-            gram = words[at : at + k]
-            rows.append((i, label, i < len(BASE), at, k, _gram_hash(gram), b" ".join(gram).decode(), len(words) - k + 1))
-    return rows
 
+def _gram(words: list[bytes], base: bool) -> int:
+    return len(words) if base else min(GRAM, len(words))
+
+
+def _scanner(lengths: list[int]):
+    """Rows of the hashes of all grams: those of the first length by place, then those of the next, and so on."""
 
-def _scanner(vocabulary: frozenset[bytes], lengths: list[int]):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n_words, grams = [], []
-            for text in batch["text"]:
-                words = WORD.findall((text or "").encode().lower())
-                n_words.append(len(words))
-                run, found = 0, []  # run: template words in a row up to here
-                if not vocabulary.isdisjoint(words):
-                    for at, word in enumerate(words):
-                        run = run + 1 if word in vocabulary else 0
-                        for k in lengths:
-                            if run >= k:
-                                gram = words[at - k + 1 : at + 1]
-                                found.append({"at": at - k + 1, "h": _gram_hash(gram), "gram": b" ".join(gram).decode()})
-                grams.append(found)
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "n_words": n_words, "grams": grams})
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                texts = [words_of(t) for t in part["text"]]
+                grams = [np.concatenate([rolled(w, k) for k in lengths]).view(np.int64) for w in texts]
+                yield part.drop(columns="text").assign(n_words=[len(w) for w in texts], grams=pd.Series(grams, part.index, object))
 
     return scan
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(documents, spans).
+def _aligned(words: list[bytes], template: list[bytes], begin: int, end: int) -> tuple[float, int, int]:
+    """(share of the template's words met in order, first and last of them) near words ``begin`` to ``end``."""
+    lo, hi = max(0, begin - DRIFT), min(len(words), end + DRIFT)
+    if words[max(0, begin) : end] == template:
+        return 1.0, begin, end - 1
+    blocks = [b for b in SequenceMatcher(None, words[lo:hi], template, autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0, lo, lo
+    return sum(b.size for b in blocks) / len(template), lo + blocks[0].a, lo + blocks[-1].a + blocks[-1].size - 1
+
+
+SPAN = "struct<label:string,base:boolean,first:int,last:int,coverage:double,verified:boolean>"
+
 
-    documents: rid, doc_id, n_words. spans: rid, label, base, first, last (words from 0), coverage (0 to 1),
-    verified. A base span is an exact occurrence of a phrase. Null texts have no words; repeated rows are
-    scanned each; an empty table gives empty results; other columns are ignored.
+def _verifier(known: list[tuple[list[bytes], str, bool]]):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n_words, spans = [], []
+            for text, found in zip(batch["text"], batch["found"]):
+                words = words_of(text)
+                n_words.append(len(words))
+                made = []
+                for f in found if found is not None else []:
+                    template, label, base = known[f["template"]]
+                    share, first, last = _aligned(words, template, f["begin"], f["end"])
+                    if not base or share == 1:
+                        made.append({"label": label, "base": base, "first": first, "last": last, "coverage": share, "verified": share >= COVERAGE})
+                spans.append(made)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n_words, "spans": spans})
+
+    return verify
+
+
+def merged_diagonals(docs: DataFrame, known: list[tuple[list[bytes], str, bool]]) -> DataFrame:
+    """(doc_id, h, template, begin, end, voted): where templates may stand, in words from 0, end excluded.
+
+    h: the text's hash. voted: the share of the template's words that the grams voted for cover.
     """
-    spark: SparkSession = docs.sparkSession
-    rows = template_rows()
-    vocabulary = frozenset(w for text, _ in BASE + TEMPLATES for w in text.encode().split())
-    scan = _scanner(vocabulary, sorted({r[4] for r in rows}))
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), "text")
-    texts = cut(
-        read.mapInPandas(scan, "rid long, doc_id long, n_words long, grams array<struct<at:int,h:long,gram:string>>"), "license-grams"
+    spark = docs.sparkSession
+    lengths = sorted({_gram(w, base) for w, _, base in known})
+    places = []
+    for i, (words, _, base) in enumerate(known):
+        k = _gram(words, base)
+        places += [(i, base, at, k, len(words), int(h)) for at, h in enumerate(rolled(words, k).view(np.int64))]
+    table = spark.createDataFrame(places, "template int, base boolean, place int, k int, size int, gram long")  # MAX_TEMPLATE_WORDS at most
+    read = docs.mapInPandas(_scanner(lengths), "doc_id long, h long, n_words int, grams array<long>")
+    votes = read.select("doc_id", "h", "n_words", F.posexplode("grams").alias("_pos", "gram")).join(F.broadcast(table), "gram")
+    before = sum((F.when(F.col("k") > k, F.greatest(F.col("n_words") - k + 1, F.lit(0))).otherwise(0) for k in lengths), F.lit(0))
+    doc = ["doc_id", "h"]
+    lines = votes.groupBy(*doc, "template", "base", "k", "size", (F.col("_pos") - before - F.col("place")).alias("diagonal")).agg(
+        F.collect_set("place").alias("places")
     )
-    places = spark.createDataFrame(rows, "template int, label string, base boolean, place int, k int, h long, gram string, grams int")
-    grams = texts.select("rid", F.explode("grams").alias("_g")).select("rid", "_g.*")
-    votes = grams.join(F.broadcast(places), ["h", "gram"]).withColumn("diagonal", F.col("at") - F.col("place"))
-    lines = votes.groupBy("rid", "template", "label", "base", "grams", "k", "diagonal").agg(
-        F.min("at").alias("first"), F.max(F.col("at") + F.col("k") - 1).alias("last"), F.collect_set("place").alias("places")
-    )
-    order = Window.partitionBy("rid", "template").orderBy("diagonal")
+    order = Window.partitionBy(*doc, "template").orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.col("diagonal") - DRIFT - 1) > DRIFT)
-    merged = lines.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order))
-    spans = merged.groupBy("rid", "template", "label", "base", "grams", "k", "_run").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_list("places")).alias("places")
+    runs = lines.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order))
+    covered = F.flatten(F.transform(F.flatten(F.collect_list("places")), lambda p: F.sequence(p, p + F.col("k") - 1)))
+    merged = runs.groupBy(*doc, "template", "k", "size", "_run").agg(
+        F.min("diagonal").alias("begin"), (F.max("diagonal") + F.col("size")).cast("int").alias("end"), F.size(F.array_distinct(covered)).alias("_n")
     )
-    covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))
-    coverage = F.size(F.array_distinct(covered)) / (F.col("grams") + F.col("k") - 1)
-    spans = spans.select("rid", "label", "base", "first", "last", coverage.alias("coverage"), (coverage >= COVERAGE).alias("verified"))
-    return texts.drop("grams"), spans
+    voted = F.col("_n") / F.col("size")
+    return merged.where(voted >= VOTED).select(*doc, "template", F.col("begin").cast("int").alias("begin"), "end", voted.alias("voted"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", templates: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, spans (label, base, first, last, coverage, verified).
+
+    templates: (text, label), texts of any length up to MAX_TEMPLATE_WORDS in all; by default those of
+    license_texts.py. Null or wordless templates, null labels and repeats don't count. first and last are words
+    from 0. coverage (0 to 1): the share of a template's words that the span meets in their order; a base
+    span is an exact occurrence of a phrase. Texts of any length are read whole; null texts have no words;
+    repeated rows get equal results; an empty table gives an empty result; other columns are ignored, whatever
+    their names.
+    """
+    known = _known(templates)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    spans = cut(merged_diagonals(rows, known), "license-spans")
+    each = spans.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("template", "begin", "end"))).alias("found"))
+    met = rows.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    return met.select("doc_id", "text", "found").mapInPandas(_verifier(known), f"doc_id long, n_words long, spans array<{SPAN}>")
 
 
-def license_report(docs: DataFrame) -> DataFrame:
+def license_report(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: the largest coverage of any template or phrase in the text, 0 without any. labels holds those of
     base phrases and of verified spans. See ``scan_licenses`` for nulls, repeated rows and empty tables.
     """
-    texts, spans = scan_licenses(docs)
-    base = F.col("base")
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = spans.groupBy("rid").agg(
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
-        names(F.when(base, F.col("label"))).alias("base_labels"),
-        names(F.when(F.col("verified"), F.col("label"))).alias("labels"),
-        F.max("coverage").alias("score"),
-    )
-    return texts.join(found, "rid", "left").select(
+    base = F.filter("spans", lambda s: s["base"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first"].cast("long"))
+    return scan_licenses(docs, templates=templates).select(
         "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.filter("spans", lambda s: s["verified"])).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
     )
