@@ -13,8 +13,9 @@ HOT_SHARE = 1_000
 
 _OWN_DIRS: dict[str, str] = {}
 
-#: Rows that one window partition of ``number_rows`` holds on average.
-ROWS_PER_BUCKET = 20_000
+#: Rows that one window partition of ``number_rows`` holds on average at most, and how many there are at least,
+#: so that tasks get about as many rows each.
+ROWS_PER_BUCKET, MIN_BUCKETS = 20_000, 1_024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +40,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucket_of(n_rows: int, *spread: Column) -> Column:
-    """A hash bucket of about ROWS_PER_BUCKET rows; equal ``spread`` values share one."""
-    return F.pmod(F.xxhash64(*spread), F.lit(max(64, -(-n_rows // ROWS_PER_BUCKET))))
+    """A hash bucket of ROWS_PER_BUCKET rows or less; equal ``spread`` values share one."""
+    return F.pmod(F.xxhash64(*spread), F.lit(max(MIN_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))))
 
 
 def number_rows(

@@ -9,6 +9,7 @@ within its capacity. Unlinked documents, which no move can cut, then fill the sh
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +27,23 @@ def text_bytes(text: Column) -> Column:
 def _grant(loads: list[int], wanted: dict[tuple[int, int], int], capacity: int) -> dict[tuple[int, int], int]:
     """How many of the moves wanted between each two shards keep all loads within the capacity.
 
-    Plain arithmetic on one number for each pair of shards.
+    Plain arithmetic on one number for each pair of shards: what comes into a shard is scaled to its room, which
+    is the less the less goes out of others, until nothing changes.
     """
-    allowed = {k: float(v) for k, v in wanted.items()}
+    n = len(loads)
+    allowed = np.zeros((n, n))
+    for (a, b), v in wanted.items():
+        allowed[a, b] = v
     for _ in range(200):
-        changed = False
-        for t, load in enumerate(loads):
-            inward = sum(v for (_, b), v in allowed.items() if b == t)
-            outward = sum(v for (a, _), v in allowed.items() if a == t)
-            room = capacity - load + outward
-            if inward > max(room, 0) + 0.5:
-                scale = max(0.0, room) / inward
-                allowed = {(a, b): v * scale if b == t else v for (a, b), v in allowed.items()}
-                changed = True
-        if not changed:
+        inward, room = allowed.sum(axis=0), np.maximum(0.0, capacity - np.array(loads) + allowed.sum(axis=1))
+        if (inward <= room + 0.5).all():
             break
-    whole = {k: int(v) for k, v in allowed.items()}
-    for t in range(len(loads)):  # what rounding left over, to the largest fractions
-        cells = sorted((k for k in allowed if k[1] == t), key=lambda k: (whole[k] - allowed[k], k))
-        spare = int(sum(allowed[k] for k in cells) + 1e-6) - sum(whole[k] for k in cells)
-        for k in cells[:spare]:
-            whole[k] += 1
-    return {k: v for k, v in whole.items() if v}
+        allowed *= np.where(inward > room + 0.5, room / np.maximum(inward, 1e-9), 1.0)
+    whole = np.floor(allowed).astype(np.int64)
+    for t in range(n):  # what rounding left over, to the largest fractions
+        spare = int(allowed[:, t].sum() + 1e-6) - int(whole[:, t].sum())
+        whole[np.argsort(whole[:, t] - allowed[:, t], kind="stable")[:spare], t] += 1
+    return {(int(a), int(b)): int(whole[a, b]) for a, b in zip(*np.nonzero(whole))}
 
 
 def _preferred(votes: Column, anchor: Column, n_shards: int, full: set[int]) -> Column:
@@ -105,8 +101,10 @@ def shard_documents(
 
     links: expressions of text keys; documents with an equal key are linked (null: no link by this key).
     By default the exact text. A group larger than a shard fills several, one after the other. Null texts: size 1,
-    checksum 0, no link. Repeated rows are separate documents. An empty table gives an empty result. Other
-    columns are ignored, whatever their names.
+    checksum 0, no link. Texts of any length count whole. Repeated rows are separate documents; of ties the
+    order of the rows decides. A null doc_id comes first. An empty table gives an empty result. Other columns
+    are ignored, whatever their names. A proposal has a few columns for each shard: for tens of shards, not
+    for thousands.
     """
     text = F.col("text")
     keys = [F.md5(text)] if links is None else links
