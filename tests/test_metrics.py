@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,12 +185,41 @@ def test_histogram_gaps(spark):
     assert got(histogram.count(h, 0, 3 * S)) == [(2, 6.0), (3, 3.0)]
 
 
+def strides(ticks, stride, sizes, **how):
+    """(tick, shown at), with the ticks given in batches of ``sizes``."""
+    batches, at = [], 0
+    for n in [*sizes, len(ticks)]:
+        part = ticks[at : at + n]
+        batches.append((np.array([t for t, _ in part], np.int64), np.array([h for _, h in part], bool)))
+        at += n
+    return [(int(t), int(x)) for some, x in histogram.emit_times(iter(batches), stride, **how) for t in some]
+
+
+def one_by_one(ticks, stride, only_with_data=False):
+    out, last, waiting, data = [], None, [], False
+    for t, has in ticks:
+        waiting.append(t)
+        data = data or has
+        if last is None:
+            last = t
+        elif t - last >= stride and (data or not only_with_data):
+            out += [(x, t) for x in waiting]
+            last, waiting, data = t, [], False
+    return out + [(x, waiting[-1]) for x in waiting]
+
+
 def test_strides():
     ticks = [(i, i > 0) for i in range(6)]
-    assert histogram.emit_times(ticks, 2) == [(0, 2), (1, 2), (2, 2), (3, 4), (4, 4), (5, 5)]
+    assert strides(ticks, 2, [6]) == [(0, 2), (1, 2), (2, 2), (3, 4), (4, 4), (5, 5)]
     quiet = [(0, False), (1, False), (2, False), (3, True), (4, True)]
-    assert histogram.emit_times(quiet, 2)[:3] == [(0, 2), (1, 2), (2, 2)]
-    assert histogram.emit_times(quiet, 2, only_with_data=True) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 4)]
+    assert strides(quiet, 2, [5])[:3] == [(0, 2), (1, 2), (2, 2)]
+    assert strides(quiet, 2, [5], only_with_data=True) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 4)]
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        times = np.unique(rng.integers(0, 60, rng.integers(0, 30))).tolist()
+        some = [(t, bool(rng.random() < 0.3)) for t in times]
+        stride, sizes, only = int(rng.integers(1, 12)), rng.integers(0, 6, 8).tolist(), bool(rng.random() < 0.5)
+        assert strides(some, stride, sizes, only_with_data=only) == one_by_one(some, stride, only)
 
 
 def test_strided_count(spark):

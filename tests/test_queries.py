@@ -8,7 +8,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidegrid.plans import metric_queries
+from tidegrid.plans import metric_queries, source_queries
+
+QUERIES = metric_queries.QUERIES | source_queries.QUERIES
+ORACLES = metric_queries.ORACLES | source_queries.ORACLES
 
 SMALL = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).parent.parent
@@ -26,16 +29,16 @@ def rows(df, columns):
     return sorted(tuple("" if pd.isna(v) else str(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(metric_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
-    ours, theirs = metric_queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(metric_queries.ORACLES[name]).df()
+    ours, theirs = QUERIES[name](spark, SMALL).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours, sorted(ours.columns)) == rows(theirs, sorted(ours.columns))
 
 
-@pytest.mark.parametrize("name", sorted(set(metric_queries.QUERIES) - set(metric_queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql(spark, name):
-    assert metric_queries.QUERIES[name](spark, SMALL).count() > 0
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_strides_keep_all_events(spark):

@@ -171,13 +171,67 @@ def test_disjoint(spark):
     assert compose.finest_interval(5, 2) == 2
 
 
-def test_wide_table_and_text(spark, tmp_path):
+def cells(df, *columns):
+    return sorted(str(tuple(r)) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+@pytest.mark.parametrize("by_spark", [True, False])
+def test_written_recordings_read_back(spark, tmp_path, sparse, by_spark):
+    """Kinds, labels, windows, buckets, layouts, interval and metadata, by the footer or by Spark's schema."""
+    rows = segment(spark, (1, 2, 3), (3, 4, 9), labels={"a": 'q"x', "b": "{1}"}, windows=True)
+    rows = rows.unionByName(segment(spark, (1, 2), (5, None), kind="gauge", metric="g.h")).unionByName(segment(spark, (2,), (7,), metric="c"))
+    rows = rows.unionByName(layout(spark, (1, 2, 3), (1, 4, 9), 2).select(*rows.columns, "buckets", "p", "n"), allowMissingColumns=True)
+    path = str(tmp_path / "w")
+    recording.write_wide(rows, path, 500, sparse, source="probe", version="1.2")
+    rec = recording.open_recording(path, spark=spark if by_spark else None)
+    assert (rec.interval_ns, rec.source, rec.version, rec.filename, rec.metadata["source"]) == (S // 2, "probe", "1.2", "w", "probe")
+    back = recording.long_table(spark, [rec])
+    same = ("kind", "metric", "labels", "t", "raw_t", "v", "w_begin", "w_end", "p", "n")
+    assert cells(back, *same) == cells(rows.where("v is not null or kind = 'histogram'"), *same)
+    buckets = F.coalesce("buckets", F.array().cast("array<struct<idx:int,cnt:bigint>>"))
+    assert cells(back.where("kind = 'histogram'"), "t", "buckets") == cells(rows.where("kind = 'histogram'"), "t", buckets)
+    assert points(histogram.count(back.where("kind = 'histogram'"), 0, 9 * S)) == [(2, 3.0), (3, 5.0)]
+    again = str(tmp_path / "again")
+    recording.write_wide(back, again, 500, sparse)
+    assert cells(recording.long_table(spark, [recording.open_recording(again)]), *same) == cells(back, *same)
+
+
+def test_wide_tables_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(recording, "MAX_SERIES", 1)
+    two = segment(spark, (1,), (3,)).unionByName(segment(spark, (1,), (3,), metric="d"))
+    with pytest.raises(ValueError, match="series"):
+        recording.write_wide(two, str(tmp_path / "w"))
+    with pytest.raises(ValueError, match="unit"):
+        recording.write_wide(segment(spark, (1,), (3,), labels={"unit": "s"}), str(tmp_path / "w"))
+
+
+def test_recordings_without_matching_labels_are_not_read(spark, tmp_path):
+    paths = [write(tmp_path / f"{z}.parquet", [stamps(1, 2), counter("requests/0", [0, 10], cpu="0"), counter("requests/1", [0, 5], cpu="1")]) for z in ("east", "west")]
+    recs = [recording.open_recording(f, i).with_labels(zone=z) for i, (f, z) in enumerate(zip(paths, ("east", "west")))]
+    some = [r.matching([("zone", "=", "west"), ("cpu", "!=", "1")]) for r in recs]
+    assert [[c.column for c in r.columns] for r in some] == [[], ["requests/0"]]
+    rows = recording.long_table(spark, some)
+    assert {r["v"] for r in rows.collect()} == {0, 10} and rows.inputFiles()[0].endswith("west.parquet") and len(rows.inputFiles()) == 1
+
+
+def test_raw_times_keep_repeats_and_order(spark, tmp_path):
+    a = write(tmp_path / "a.parquet", [("timestamp", U, [3 * S, 1 * S, None, 1 * S], None), counter("c", [1, 2, 3, 4])])
+    recs = [recording.open_recording(a, 1), recording.open_recording(a, 0)]
+    got = [(r["file_id"], r["raw_t"]) for r in recording.sample_times(spark, recs).collect()]
+    assert got == [(i, t * S) for i in (0, 1) for t in (3, 1, 1)]
+
+
+def test_summaries_in_text(spark):
+    hist = layout(spark, (1, 2), (1, 4), 2).withColumn("v", F.lit(None).cast("long"))
+    more = hist.withColumn("buckets", F.expr("array(named_struct('idx', 1, 'cnt', cast(3 as bigint)), named_struct('idx', 9, 'cnt', cast(1 as bigint)))"))
+    text = [r["line"] for r in exposition.lines(more, p=2, percentiles=[0.5, 0.99]).orderBy("metric", "place", "line").collect()]
+    assert text == ["# TYPE h summary", 'h{quantile="0.5"} 1 2000', 'h{quantile="0.99"} 11 2000', "h_count 4 2000", "h_sum 13 2000"]
+    assert [r["line"] for r in exposition.lines(hist.withColumn("buckets", F.array().cast("array<struct<idx:int,cnt:bigint>>")), p=2, percentiles=[0.5]).orderBy("place", "line").collect()] == ["# TYPE h summary", "h_count 0 2000", "h_sum 0 2000"]
+
+
+def test_text(spark):
     rows = segment(spark, (1, 2), (3, 4), labels={"a": 'q"x'}).unionByName(segment(spark, (1, 2), (5, None), kind="gauge", metric="g.h"))
-    recording.write_wide(rows, str(tmp_path / "w"))
-    back = spark.read.parquet(str(tmp_path / "w"))
-    assert back.count() == 2 and len(back.columns) == 3
-    about = {f.metadata["metric"]: f.metadata["metric_type"] for f in back.schema if "metric" in f.metadata}
-    assert about == {"c": "counter", "g.h": "gauge"}
     none = F.lit(None).cast("array<struct<idx:int,cnt:bigint>>")
     text = [r["line"] for r in exposition.lines(rows.where("v is not null").withColumn("buckets", none)).orderBy("metric", "place").collect()]
     assert text == ["# TYPE c counter", 'c{a="q\\"x"} 4 2000', "# TYPE g_h gauge", "g_h 5 1000"]

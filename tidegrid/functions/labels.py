@@ -46,3 +46,9 @@ def matches(labels: Column, matchers: list[tuple[str, str, str]]) -> Column:
         else:
             raise ValueError(f"unknown label operator {op!r}")
     return out
+
+
+def held(labels: dict[str, str], matchers: list[tuple[str, str, str]]) -> bool:
+    """``matches`` of one label set, on the driver."""
+    hit = {m[0]: (m[1], labels.get(m[0]) in literals(m[2])) for m in matchers if m[0] != "__name__"}
+    return all(found == (op in ("=", "=~")) for op, found in hit.values())

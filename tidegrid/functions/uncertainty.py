@@ -74,3 +74,10 @@ def combine_reads(df: DataFrame, op: str) -> DataFrame:
     side = lambda p: (F.coalesce(f"{p}lo", f"{p}v"), F.coalesce(f"{p}hi", f"{p}v"))
     df = with_band(df, corners(op, *side(""), *side("r_")), F.col("_banded"))
     return df.withColumns({f"e_{n}": F.when(F.col("_equal"), F.col(f"e_{n}")) for n in names})
+
+
+def all_or_none(points: DataFrame) -> DataFrame:
+    """``points`` with bands only in series of which every point has one, as they are given out."""
+    whole = points.groupBy("series").agg(F.min(F.col("lo").isNotNull() & F.col("hi").isNotNull()).alias("_whole"))
+    met = points.join(whole, "series")
+    return met.withColumns({c: F.when(F.col("_whole"), F.col(c)) for c in ("lo", "hi")}).select(*points.columns)

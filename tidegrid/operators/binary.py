@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.frames import BAND, EDGES, as_points
@@ -38,29 +38,26 @@ def series(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = No
     a key; of several right series with a key the last does. With neither list, a single right series that
     found no partner is paired with all left series that found none. Left labels are kept.
 
-    Both sides are dealt by key in one shuffle, in which partners are chosen and met at equal times.
+    Partners are chosen from the smallest left and largest right series of each key, aggregated before the
+    shuffle; only rows of chosen series meet, by key and time.
     """
     if on is not None and ignoring is not None:
         raise ValueError("either on or ignoring")
     key = _match_key(F.col("labels"), on, ignoring)
-    sides = [as_points(df).withColumns({"key": key, "side": F.lit(i)}) for i, df in enumerate((left, right))]
-    by_key = Window.partitionBy("key")
-    lefts, rights = F.min(F.when(F.col("side") == 0, F.col("series"))), F.max(F.when(F.col("side") == 1, F.col("series")))
-    dealt = sides[0].unionByName(sides[1]).withColumns({"_l": lefts.over(by_key), "_r": rights.over(by_key)})
-    ours, theirs = F.col("side") == 0, (F.col("side") == 1) & (F.col("series") == F.col("_r"))
-    first = ours & (F.col("series") == F.col("_l"))
+    ours, theirs = (as_points(df).withColumn("key", key) for df in (left, right))
+    firsts = ours.groupBy("key").agg(F.min("series").alias("_l"))
+    lasts = theirs.groupBy("key").agg(F.max("series").alias("_r"))
+    partners = firsts.join(lasts, "key")
     values = ["v", *BAND, *EDGES]
-    held = F.struct("series", "labels", *values)
-    met = dealt.where(F.col("_r").isNotNull() & (first | theirs)).groupBy("key", "t").agg(
-        F.first(F.when(ours, held), ignorenulls=True).alias("_a"), F.first(F.when(~ours, F.struct(*values)), ignorenulls=True).alias("_b")
-    )
-    met = met.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    both = met.select("t", "_a.*", *[F.col(f"_b.{c}").alias(f"r_{c}") for c in values])
+    other = [F.col(c).alias(f"r_{c}") for c in values]
+    a = ours.join(partners.select("key", F.col("_l").alias("series")), ["key", "series"], "left_semi")
+    b = theirs.join(partners.select("key", F.col("_r").alias("series")), ["key", "series"], "left_semi")
+    both = a.join(b.select("key", "t", *other), ["key", "t"]).select("t", "series", "labels", *values, *[f"r_{c}" for c in values])
     if on is None and ignoring is None:
-        over = dealt.where(theirs & F.col("_l").isNull())
-        only = over.agg(F.min("key").alias("_k0"), F.max("key").alias("_k1")).where("_k0 = _k1").select("_k0")
-        single = over.join(F.broadcast(only), F.col("key") == F.col("_k0")).select("t", *[F.col(c).alias(f"r_{c}") for c in values])
-        alone = dealt.where(ours & (F.col("_r").isNull() | ~first)).select("t", "series", "labels", *values)
+        over = lasts.join(firsts, "key", "left_anti")
+        only = over.agg(F.min("key").alias("key"), F.max("key").alias("_k"), F.max("_r").alias("series")).where("key = _k").select("key", "series")
+        single = theirs.join(F.broadcast(only), ["key", "series"], "left_semi").select("t", *other)  # one row at most is broadcast
+        alone = ours.join(partners.select("key", F.col("_l").alias("series")), ["key", "series"], "left_anti").select("t", "series", "labels", *values)
         both = both.unionByName(alone.join(single, "t"))
     out = both.withColumn("_v", U.apply(op, F.col("v"), F.col("r_v"))).where("_v is not null")
     return as_points(U.combine_reads(out, op).withColumn("v", F.col("_v")))

@@ -21,8 +21,10 @@ def box_width(span_seconds: Column, budget: int) -> Column:
     return out.cast("long")
 
 
-def boxplot(points: DataFrame, budget: int, band: str | tuple[float, float] = "iqr") -> DataFrame:
-    """series, t, min, lo, median, hi, max, unc_lo, unc_hi, n, decimated.
+def boxplot(points: DataFrame, budget: int, band: str | tuple[float, float] = "iqr", native_ns: int | None = None) -> DataFrame:
+    """series, t, min, lo, median, hi, max, unc_lo, unc_hi, n, and where they come from: decimated, raw_points
+    (of the series), reducer, band_low and band_high (the quantiles of lo and hi), native_interval (seconds
+    between the points that were evaluated, ``native_ns``).
 
     A series of at most ``budget`` points (or any, for 0) stays as it is, each point its own box. Otherwise
     boxes start at multiples of their width since the epoch and hold what lies in them. lo and hi are the
@@ -36,10 +38,10 @@ def boxplot(points: DataFrame, budget: int, band: str | tuple[float, float] = "i
     )
     many = (F.lit(budget) > 0) & (F.col("_n") > budget)
     width = box_width((F.col("_z") - F.col("_a")) / SECOND, max(1, budget)) * SECOND
-    per = per.select("series", "_banded", many.alias("decimated"), F.when(many, width).otherwise(1).alias("_w"))
+    per = per.select("series", "_banded", F.col("_n").alias("raw_points"), many.alias("decimated"), F.when(many, width).otherwise(1).alias("_w"))
     marked = df.join(per, "series").withColumn("_at", (F.col("t") - F.pmod("t", "_w")))
     unc = lambda c: F.when(F.col("_banded"), F.col(c))
-    out = marked.groupBy("series", "_at", "decimated").agg(
+    out = marked.groupBy("series", "_at", "decimated", "raw_points").agg(
         F.first("labels").alias("labels"),
         F.min("v").alias("min"),
         F.percentile("v", low).alias("lo"),
@@ -50,4 +52,6 @@ def boxplot(points: DataFrame, budget: int, band: str | tuple[float, float] = "i
         F.percentile(unc("hi"), 0.5).alias("unc_hi"),
         F.count(F.lit(1)).alias("n"),
     )
-    return out.withColumnRenamed("_at", "t")
+    origin = {"reducer": F.lit("boxplot"), "band_low": F.lit(float(low)), "band_high": F.lit(float(high))}
+    native = F.lit(None if native_ns is None else native_ns / SECOND).cast("double")
+    return out.withColumnRenamed("_at", "t").withColumns(origin | {"native_interval": native})

@@ -7,6 +7,10 @@ the series' previous row; a bucket that isn't in the previous row rises from zer
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,41 +45,55 @@ def deltas(hist: DataFrame, start: int, end: int, by: list[str] | None = None, w
     return _group(risen, by, without).groupBy("series", "t", "idx").agg(F.first("labels").alias("labels"), F.sum("cnt").alias("cnt"))
 
 
-def emit_times(ticks: list[tuple[int, bool]], stride: int, only_with_data: bool = False) -> list[tuple[int, int]]:
-    """(tick, the time that its events are shown at) for ticks (time, whether it has events) in order.
+def emit_times(batches: Iterator[tuple[np.ndarray, np.ndarray]], stride: int, only_with_data: bool = False) -> Iterator[tuple[np.ndarray, int]]:
+    """(ticks, the time that their events are shown at) for batches (times, whether they have events) in order.
 
     The first tick starts a stride; a tick at least ``stride`` later ends it, and the last tick ends the rest.
     With ``only_with_data`` a stride that had no events isn't ended. A tick counts whole, whatever the order
-    of its series.
+    of its series. Held are the ticks of one stride.
     """
-    out: list[tuple[int, int]] = []
     last, waiting, data = None, [], False
-    for t, has in ticks:
-        waiting.append(t)
-        data = data or has
-        if last is None:
-            last = t
-        elif t - last >= stride and (data or not only_with_data):
-            out += [(x, t) for x in waiting]
-            last, waiting, data = t, [], False
-    return out + [(x, waiting[-1]) for x in waiting]
+    for times, has in batches:
+        at = 0
+        if last is None and len(times):
+            last = int(times[0])
+            data = bool(has[0])
+            waiting, at = [times[:1]], 1
+        busy = np.flatnonzero(has)
+        while at < len(times):
+            end = max(at, int(np.searchsorted(times, last + stride)))
+            if only_with_data and not data:
+                after = busy[np.searchsorted(busy, at) :]
+                end = max(end, int(after[0])) if len(after) else len(times)
+            if end >= len(times):
+                waiting.append(times[at:])
+                data = data or bool(has[at:].any())
+                break
+            yield np.concatenate([*waiting, times[at : end + 1]]), int(times[end])
+            last, waiting, data, at = int(times[end]), [], False, end + 1
+    if waiting and sum(map(len, waiting)):
+        rest = np.concatenate(waiting)
+        yield rest, int(rest[-1])
 
 
 def strided(hist: DataFrame, events: DataFrame, start: int, end: int, stride: int, only_with_data: bool = False) -> DataFrame:
     """``events`` (of ``deltas``) with the ticks of each stride put together.
 
-    Where a stride ends depends on the ticks before it, so the distinct ticks of the query pass through the
-    driver, eight bytes each and none of the events.
+    Where a stride ends depends on the ticks before it, so the distinct ticks of the query, nine bytes each and
+    none of the events, pass through one task in order, which holds those of one stride.
     """
     if stride <= 0:
         raise ValueError("the stride has to be positive")
-    ticks = hist.where(F.col("t").between(start, end)).select("t").distinct()
-    busy = events.select("t").distinct().withColumn("_has", F.lit(True))
-    rows = ticks.join(busy, "t", "left").orderBy("t").select("t", F.coalesce("_has", F.lit(False)).alias("h")).toLocalIterator()
-    table = emit_times([(r["t"], r["h"]) for r in rows], stride, only_with_data)
-    shown = hist.sparkSession.createDataFrame(table, "t long, _at long")
-    moved = events.join(shown, "t").groupBy("series", "_at", "idx").agg(F.first("labels").alias("labels"), F.sum("cnt").alias("cnt"))
-    return moved.withColumnRenamed("_at", "t")
+    ticks = hist.where(F.col("t").between(start, end)).select("t", F.lit(False).alias("has")).unionByName(events.select("t", F.lit(True).alias("has")))
+    ordered = ticks.groupBy("t").agg(F.max("has").alias("has")).repartition(1).sortWithinPartitions("t")
+
+    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = ((b["t"].to_numpy(), b["has"].to_numpy(bool)) for b in batches)
+        for some, at in emit_times(arrays, stride, only_with_data):
+            yield pd.DataFrame({"t": some, "_at": at})
+
+    moved = events.join(ordered.mapInPandas(shown, "t long, _at long"), "t").groupBy("series", "_at", "idx")
+    return moved.agg(F.first("labels").alias("labels"), F.sum("cnt").alias("cnt")).withColumnRenamed("_at", "t")
 
 
 def _events(hist: DataFrame, start: int, end: int, stride: int | None, by=None, without=None, only_with_data: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from tidegrid.frames import SECOND
 from tidegrid.functions import labels as L
 from tidegrid.operators import aggregate, binary, counters, display, gauges, histogram
 from tidegrid.plans import projections as P
+from tidegrid.scratch import new_folder
 from tidegrid.sources import compose, exposition, schema
 from tidegrid.streaming import live
 
@@ -258,7 +257,18 @@ SELECT quantile, t, {near_sql(f'({HIGH})::DOUBLE{scale}')}, {near_sql(f'({LOW}):
     add("hist_quantile_p99", lambda s, d: flat(_quant(0.99)(s, d), "quantile", band=True), _quantile_sql(["0.99"]))
     add("hist_quantiles_multi", lambda s, d: flat(_quant(0.0, 0.5, 0.9, 1.0)(s, d), "quantile", band=True), _quantile_sql(["0", "0.5", "0.9", "1"]))
     add("hist_quantile_scaled", lambda s, d: flat(binary.scalar(_quant(0.5)(s, d), "/", 1000), "quantile", band=True), _quantile_sql(["0.5"], " / 1000"))
-    add("hist_quantiles_stride", lambda s, d: flat(_quant(0.5, 0.99, stride=30 * DAY)(s, d), "quantile", band=True))
+    # Ends of strides, each found from the one before; events show at the first end at or behind them.
+    _RANGED = f"(SELECT epoch_us(o_orderdate) * 1000 AS t FROM orders WHERE epoch_us(o_orderdate) * 1000 BETWEEN {O_START} AND {O_END})"
+    _STRIDES = f"""WITH RECURSIVE st AS (SELECT min(t) AS b FROM {_RANGED}
+UNION ALL SELECT (SELECT min(t) FROM {_RANGED} WHERE t >= st.b + {30 * DAY}) FROM st WHERE EXISTS (SELECT 1 FROM {_RANGED} WHERE t >= st.b + {30 * DAY})),
+bounds AS (SELECT b FROM st WHERE b > (SELECT min(b) FROM st) UNION SELECT max(t) FROM {_RANGED}),
+{hist_sql(O_START, O_END)},
+z AS (SELECT e.k, bounds.b AS t, e.idx, sum(e.cnt)::BIGINT AS cnt FROM e ASOF JOIN bounds ON bounds.b >= e.t GROUP BY ALL)"""
+    add(
+        "hist_quantiles_stride",
+        lambda s, d: flat(_quant(0.5, 0.99, stride=30 * DAY)(s, d), "quantile", band=True),
+        _quantile_sql(["0.5", "0.99"]).replace(_H, _STRIDES).replace("FROM e GROUP BY ALL),\nc AS", "FROM z GROUP BY ALL),\nc AS"),
+    )
 
     def _hist_values(value: str, by: str = "") -> str:
         key = f"k AS {by}, " if by else ""
@@ -271,7 +281,7 @@ SELECT quantile, t, {near_sql(f'({HIGH})::DOUBLE{scale}')}, {near_sql(f'({LOW}):
     add("hist_sum", lambda s, d: flat(histogram.total(P.order_price(s, d), _p, *o_span(s, d))), _hist_values(_SUM))
     add("hist_sum_without", lambda s, d: flat(histogram.total(P.order_price(s, d), _p, *o_span(s, d), without=["o_orderpriority"])), _hist_values(_SUM))
     add("hist_count", lambda s, d: flat(histogram.count(P.order_price(s, d), *o_span(s, d))), _hist_values(_COUNT))
-    add("hist_count_stride", lambda s, d: flat(histogram.count(P.order_price(s, d), *o_span(s, d), stride=30 * DAY)))
+    add("hist_count_stride", lambda s, d: flat(histogram.count(P.order_price(s, d), *o_span(s, d), stride=30 * DAY)), f"{_STRIDES} SELECT t, {near_sql('sum(cnt)::DOUBLE')} FROM z GROUP BY t")
 
     def _irated(by: str = "") -> str:
         key = "k" if by else "1"
@@ -363,8 +373,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     # A pattern, as a stream takes a single file by no other path; it fits a folder of part files as well.
     events = s.readStream.schema(shape).parquet(f"{d}/events.parque[t]")
     samples = events.select(F.col("event_type").alias("series"), P.nanos("ts").alias("t"), F.col("event_id").alias("v"))
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return live.run_through(live.grid_rate(samples, STEP), f"{folder}/stream-{uuid.uuid4().hex}").select(F.col("series").alias("event_type"), "t", (F.round("v", 6) + 0.0).alias("v"))
+    return live.run_through(live.grid_rate(samples, STEP), new_folder(s, "stream")).select(F.col("series").alias("event_type"), "t", (F.round("v", 6) + 0.0).alias("v"))
 
 
 _IDS = f"SELECT event_type AS k, {NS} AS t, event_id AS v FROM events"

@@ -91,6 +91,57 @@ def last_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(e, "gauge", "last_user")
 
 
+def events_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter of events by type and by the users' remainder of three."""
+    e = _events(spark, sf_dir).withColumn("shard", F.col("user_id") % 3)
+    n = F.row_number().over(Window.partitionBy("event_type", "shard").orderBy("t", "event_id"))
+    return _long(e.select(_labels("event_type", "shard").alias("labels"), "t", n.alias("v")), "counter", "events_by_shard")
+
+
+def revenue_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter of cents by type and by the users' remainder of three."""
+    e = _events(spark, sf_dir).withColumn("shard", F.col("user_id") % 3)
+    w = Window.partitionBy("event_type", "shard").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    cents = F.sum(F.round(F.col("value") * 100).cast("long")).over(w)
+    return _long(e.select(_labels("event_type", "shard").alias("labels"), "t", cents.alias("v")), "counter", "revenue_by_shard")
+
+
+def slow_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three times the events by type, read in windows of tens of minutes."""
+    begin = F.col("t") - F.col("event_id") % 4 * 600_000_000_000
+    e = _events(spark, sf_dir).select(
+        _labels("event_type").alias("labels"), "t", (F.row_number().over(_by_type()) * 3).alias("v"),
+        begin.alias("w_begin"), (begin + (F.col("event_id") % 6 + 2) * 600_000_000_000).alias("w_end"),
+    )
+    return _long(e, "counter", "slow_total")
+
+
+def third_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauge: the last value's remainder of three, by type."""
+    return type_value(spark, sf_dir).withColumns({"v": F.col("v") % 3, "metric": F.lit("third_value")})
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"t": nanos("o_orderdate"), "value": F.floor("o_totalprice")})
+
+
+def shop_price(spark: SparkSession, sf_dir: str, p: int = GROUPING_POWER, half: int | None = None) -> DataFrame:
+    """Long table of one histogram of all order prices; a tick is a day with orders, of the first or second half alone."""
+    rows = _orders(spark, sf_dir)
+    if half is not None:
+        first, last = span(spark, sf_dir, "orders", "o_orderdate")
+        rows = rows.where(F.col("t") < (first + last) // 2 if half == 0 else F.col("t") >= (first + last) // 2)
+    made = histogram.from_values(rows.select("t", "value"), p, F.create_map(F.lit("shop"), F.lit("all")))
+    none = F.lit(None).cast("long")
+    return made.withColumns({"kind": F.lit("histogram"), "metric": F.lit("price"), "raw_t": F.col("t"), "v": none, "w_begin": none, "w_end": none, "p": F.lit(p), "n": F.lit(64)})
+
+
+def status_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of order prices by priority and status."""
+    rows = _orders(spark, sf_dir).select("o_orderpriority", "o_orderstatus", "t", "value")
+    return histogram.from_values(rows, GROUPING_POWER, _labels("o_orderpriority", "o_orderstatus"))
+
+
 def order_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of order prices by priority; a tick is a day with orders."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", nanos("o_orderdate").alias("t"), F.floor("o_totalprice").alias("value"))

@@ -41,9 +41,11 @@ def spliced(*tables: DataFrame) -> DataFrame:
     for i, t in enumerate(tables):
         t = t.withColumn(FILE, F.lit(i))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-    per = Window.partitionBy("kind", "metric", "series")
-    whole = F.min(F.col("w_begin").isNotNull()).over(per)
-    out = out.withColumns({c: F.when(whole, F.col(c)) for c in ("w_begin", "w_end")})
+    known = F.col("w_begin").isNotNull()
+    per = out.groupBy("kind", "metric", "series").agg(F.min(known).alias("_all"), F.max(known).alias("_some"))
+    mixed = per.where("_some and not _all").select("kind", "metric", "series", F.lit(True).alias("_mixed"))  # most often none
+    out = out.join(mixed, ["kind", "metric", "series"], "left")
+    out = out.withColumns({c: F.when(F.col("_mixed").isNull(), F.col(c)) for c in ("w_begin", "w_end")}).drop("_mixed")
     if "p" not in out.columns:  # counters and gauges alone
         return out
     layout = out.where("kind = 'histogram'").groupBy("metric", "p", "n").agg(F.min(FILE).alias("_since"))

@@ -21,9 +21,24 @@ def _label_text(labels: Column, extra: Column | None = None) -> Column:
     return F.when(joined == "", "").otherwise(F.concat(F.lit("{"), joined, F.lit("}")))
 
 
-def lines(rows: DataFrame, p: int = 3) -> DataFrame:
-    """metric and line of the latest sample of each series; histograms as _bucket, _sum and _count.
+def _quantile_lines(hist: DataFrame, qs: list[float], p: int, n: Column, stamp: Column) -> DataFrame:
+    """The line of each quantile: the end of the first bucket with max(1, ceil(q * n)) events up to it."""
+    step = lambda a, b: F.concat(a, F.array(F.struct(b["idx"].alias("idx"), (F.coalesce(F.element_at(a, -1)["upto"], F.lit(0)) + b["cnt"]).alias("upto"))))
+    none = F.array().cast("array<struct<idx:int,upto:bigint>>")
+    upto = F.aggregate(F.array_sort("_s.buckets"), none, lambda a, b: F.when(F.size(a) > 0, step(a, b)).otherwise(F.array(F.struct(b["idx"].alias("idx"), b["cnt"].alias("upto")))))
+    asked = F.array(*[F.struct(F.lit(str(q)).alias("text"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * n)).alias("rank")) for q in qs])
+    each = hist.withColumns({"_n": n, "_u": upto}).where("_n > 0").withColumn("_q", F.explode(asked))
+    top = F.element_at(F.filter("_u", lambda u: u["upto"] >= F.col("_q.rank")), 1)["idx"]
+    said = F.concat(F.lit('quantile="'), F.col("_q.text"), F.lit('"'))
+    line = F.concat_ws(" ", F.concat(_clean(F.col("metric")), _label_text(F.col("labels"), said)), h2.bucket_end(top, p).cast("string"), stamp)
+    return each.select("metric", F.lit(1).alias("place"), line.alias("line"))
 
+
+def lines(rows: DataFrame, p: int = 3, percentiles: list[float] | None = None) -> DataFrame:
+    """metric, place and line of the latest sample of each series; histograms as _bucket, _sum and _count.
+
+    percentiles (0 to 1): write histograms as summaries instead, the upper bound of the bucket that holds each
+    as the line of its quantile, and _sum and _count; one without events has these two alone.
     Lines of one metric follow its TYPE line when ordered by (metric, place).
     """
     last = rows.groupBy("kind", "metric", "series").agg(F.first("labels").alias("labels"), F.max(F.struct("t", "v", "buckets")).alias("_s"))
@@ -39,9 +54,14 @@ def lines(rows: DataFrame, p: int = 3) -> DataFrame:
     n = F.aggregate("_s.buckets", F.lit(0).cast("long"), lambda a, b: a + b["cnt"])
     total = F.aggregate("_s.buckets", F.lit(0).cast("long"), lambda a, b: a + b["cnt"] * F.floor((h2.bucket_start(b["idx"], p) + h2.bucket_end(b["idx"], p)) / 2))
     inf = F.lit('le="+Inf"')
-    ends = [("_bucket", _label_text(F.col("labels"), inf), n), ("_sum", _label_text(F.col("labels")), total), ("_count", _label_text(F.col("labels")), n)]
+    tops = [("_bucket", _label_text(F.col("labels"), inf), n)]
+    if percentiles is not None:
+        bars = _quantile_lines(hist, percentiles, p, n, stamp)
+        tops = []
+    ends = [*tops, ("_sum", _label_text(F.col("labels")), total), ("_count", _label_text(F.col("labels")), n)]
     out = plain.unionByName(bars)
     for suffix, text, value in ends:
         out = out.unionByName(hist.select("metric", F.lit(2).alias("place"), put(F.concat(name, F.lit(suffix), text), value.cast("string"), stamp).alias("line")))
-    kinds = last.groupBy("metric", "kind").agg(F.lit(0).alias("place")).select("metric", "place", put(F.lit("# TYPE"), name, F.col("kind")).alias("line"))
+    shown = F.when((F.col("kind") == "histogram") & F.lit(percentiles is not None), "summary").otherwise(F.col("kind"))
+    kinds = last.groupBy("metric", "kind").agg(F.lit(0).alias("place")).select("metric", "place", put(F.lit("# TYPE"), name, shown).alias("line"))
     return out.unionByName(kinds)

@@ -3,18 +3,22 @@
 A column's kind comes from its type: an unsigned long is a counter, a long a gauge, a list a histogram. Its
 name and labels are field metadata. The files' footers are read for that on the driver; the data are
 unpivoted by Spark, and ``normalize`` writes them once so that later scans prune by kind, metric and time.
+Spark knows no unsigned longs, so a recording that it wrote says each column's kind in the metadata.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.frames import SECOND
+from tidegrid.functions import h2
 from tidegrid.functions import labels as L
 
 #: Field metadata that isn't a label.
@@ -24,6 +28,11 @@ INDICES, COUNTS = ":bucket_indices", ":bucket_counts"
 RESERVED = {"timestamp", ":wall_offset"}
 #: Column that tells one recording of several from the others.
 FILE = "file_id"
+KINDS = ("counter", "gauge", "histogram")
+#: Where Spark keeps the schema, with its columns' metadata, in a file that it writes.
+SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
+#: The most series that a wide table is written with.
+MAX_SERIES = 20_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +62,22 @@ class Recording:
         add = lambda c: replace(c, labels=tuple(sorted((dict(c.labels) | labels).items())))
         return replace(self, columns=tuple(add(c) for c in self.columns))
 
+    def matching(self, matchers: list[tuple[str, str, str]]) -> Recording:
+        """The recording with the columns whose labels, those put on too, match; without any it isn't read at all."""
+        return replace(self, columns=tuple(c for c in self.columns if L.held(dict(c.labels), matchers)))
+
+    @property
+    def source(self) -> str:
+        return self.metadata.get("source", "")
+
+    @property
+    def version(self) -> str:
+        return self.metadata.get("version", "")
+
+    @property
+    def filename(self) -> str:
+        return self.path.rstrip("/").rsplit("/", 1)[-1]
+
 
 def _kind(t: pa.DataType) -> str | None:
     if pa.types.is_uint64(t):
@@ -62,11 +87,38 @@ def _kind(t: pa.DataType) -> str | None:
     return "histogram" if pa.types.is_list(t) and pa.types.is_uint64(t.value_type) else None
 
 
-def open_recording(path: str, file_id: int = 0) -> Recording:
-    """Read the footer of a recording; no data."""
-    schema = pq.read_schema(path)
-    about = {k.decode(): v.decode() for k, v in (schema.metadata or {}).items() if not k.startswith(b"ARROW:")}
-    names = set(schema.names)
+def _footer(path: str) -> tuple[list[tuple[str, str | None, dict[str, str]]], dict[str, str]]:
+    """([(column, its kind, its metadata)], the file's metadata) of a file, or of the first file of a folder."""
+    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    if fs.get_file_info(at).type == pafs.FileType.Directory:
+        at = min(f.path for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.path.endswith(".parquet"))
+    with fs.open_input_file(at) as f:
+        schema = pq.read_schema(f)
+    about = schema.metadata or {}
+    if SPARK_SCHEMA in about:
+        return _written(json.loads(about[SPARK_SCHEMA])["fields"])
+    plain = {k.decode(): v.decode() for k, v in about.items() if not k.startswith(b"ARROW:")}
+    own = lambda f: {k.decode(): v.decode() for k, v in (f.metadata or {}).items() if not k.startswith(b"PARQUET:")}
+    return [(f.name, _kind(f.type), own(f)) for f in schema], plain
+
+
+def _written(fields: list[dict]) -> tuple[list[tuple[str, str | None, dict[str, str]]], dict[str, str]]:
+    """What ``_footer`` gives, of the fields of Spark's schema; the file's metadata are those of its timestamps."""
+    known = [(f["name"], {k: str(v) for k, v in f["metadata"].items()}) for f in fields]
+    columns = [(name, m.get("metric_type") if m.get("metric_type") in KINDS else None, m) for name, m in known]
+    return columns, dict(known).get("timestamp", {})
+
+
+def open_recording(path: str, file_id: int = 0, spark: SparkSession | None = None) -> Recording:
+    """Read the footer of a recording, a file or a folder of ``write_wide``; no data.
+
+    spark: ask Spark for the schema of a recording that it wrote, where only Spark reaches the path.
+    """
+    if spark is None:
+        fields, about = _footer(path)
+    else:
+        fields, about = _written([f.jsonValue() for f in spark.read.parquet(path).schema])
+    names = {name for name, _, _ in fields}
 
     def window(base: str) -> tuple[str, str] | None:
         for prefix in (base, ""):
@@ -75,13 +127,11 @@ def open_recording(path: str, file_id: int = 0) -> Recording:
         return None
 
     columns, taken = [], {}
-    for f in schema:
-        if f.name in RESERVED or f.name.endswith((BEGIN, WIDTH, COUNTS)):
+    for name, kind, meta in fields:
+        if name in RESERVED or name.endswith((BEGIN, WIDTH, COUNTS)):
             continue
-        meta = {k.decode(): v.decode() for k, v in (f.metadata or {}).items() if not k.startswith(b"PARQUET:")}
-        sparse = f.name.endswith(INDICES)
-        base = f.name.removesuffix(BUCKETS).removesuffix(INDICES)
-        kind = _kind(f.type)
+        sparse = name.endswith(INDICES)
+        base = name.removesuffix(BUCKETS).removesuffix(INDICES)
         powers = (int(meta["grouping_power"]), int(meta["max_value_power"])) if {"grouping_power", "max_value_power"} <= meta.keys() else None
         if kind is None or (kind == "histogram" and powers is None):
             continue
@@ -89,7 +139,7 @@ def open_recording(path: str, file_id: int = 0) -> Recording:
         metric = meta.get("metric", base)
         if kind == "histogram" and taken.setdefault((metric, labels), powers) != powers:
             raise ValueError(f"{metric} has two bucket layouts in {path}")
-        columns.append(Column(metric, kind, labels, f.name, powers, base + COUNTS if sparse else None, window(base)))
+        columns.append(Column(metric, kind, labels, name, powers, base + COUNTS if sparse else None, window(base)))
     interval = int(about.get("sampling_interval_ms", "1000")) * (SECOND // 1000)
     return Recording(path, tuple(columns), interval, about, "duration" in names, file_id)
 
@@ -165,19 +215,63 @@ def normalize(spark: SparkSession, recordings: list[Recording], path: str) -> No
     rows.write.partitionBy("kind", "metric").mode("overwrite").parquet(path)
 
 
-def write_wide(rows: DataFrame, path: str, interval_ms: int = 1000) -> None:
-    """Write counters and gauges of a long table as a wide table: a row per tick, a column per series.
+def sample_times(spark: SparkSession, recordings: list[Recording]) -> DataFrame:
+    """file_id, place, raw_t: the time of every row as recorded, repeats too, by file and place in it."""
+    out = None
+    for r in recordings:
+        rows = spark.read.parquet(r.path).select(
+            F.lit(r.file_id).alias(FILE), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("place"), F.col("timestamp").cast("long").alias("raw_t")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out.where("raw_t is not null").orderBy(FILE, "_path", "place").drop("_path")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns that a table of counters and gauges alone may lack."""
+    more = {"buckets": "array<struct<idx:int,cnt:bigint>>", "w_begin": "long", "w_end": "long", "p": "int", "n": "int"}
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in more.items() if c not in rows.columns})
+
+
+def _dense(buckets, n: int):
+    """The counts of all ``n`` buckets."""
+    held = F.map_from_entries(buckets)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(held[i], F.lit(0).cast("long")))
+    return F.when(buckets.isNotNull(), counts)
 
-    Metric, kind and labels go into the columns' metadata, which Spark keeps and restores.
+
+def write_wide(rows: DataFrame, path: str, interval_ms: int = 1000, sparse: bool = True, **metadata: str) -> None:
+    """Write a long table as a recording: a folder of files in order of time, a row per tick, a column per series.
+
+    ``open_recording`` reads kinds, labels, bucket layouts, read windows, the interval and ``metadata`` back.
+    Histograms are written as the indices and counts of their buckets, or, if not ``sparse``, as all buckets.
+    Of several samples of a series at one time the largest is kept. A histogram without a sample at a tick
+    has none there, which reads as an empty one. The series, MAX_SERIES at most, come to the driver by name.
     """
-    named = rows.withColumn("column", F.concat_ws("/", "metric", "series"))
-    about = named.select("column", "metric", "kind", "labels").dropDuplicates(["column"]).collect()  # a row per column
-    wide = named.groupBy(F.col("raw_t").alias("timestamp")).pivot("column", sorted(r["column"] for r in about)).agg(F.first("v"))
-    named = [
-        _quoted(r["column"]).alias(
-            r["column"], metadata=dict(r["labels"]) | {"metric": r["metric"], "metric_type": r["kind"], "sampling_interval_ms": str(interval_ms)}
-        )
-        for r in about
-    ]
-    wide = wide.select("timestamp", *named)
-    wide.orderBy("timestamp").write.mode("overwrite").parquet(path)
+    named = _merged(rows).withColumn("column", F.concat_ws("/", "kind", "metric", "series"))
+    windowed = F.max(F.col("w_begin").isNotNull() & F.col("w_end").isNotNull()).alias("windowed")
+    per = named.groupBy("column").agg(*[F.first(c).alias(c) for c in ("metric", "kind", "labels")], F.max("p").alias("p"), F.max("n").alias("n"), windowed)
+    about = per.orderBy("column").limit(MAX_SERIES + 1).collect()
+    if len(about) > MAX_SERIES:
+        raise ValueError(f"more than {MAX_SERIES} series for a wide table")
+    if reserved := sorted({k for r in about for k in r["labels"]} & NOT_LABELS):
+        raise ValueError(f"labels that a recording can't hold: {', '.join(reserved)}")
+    sample = F.max(F.struct("v", F.array_sort("buckets").alias("buckets"), "w_begin", "w_end"))
+    wide = named.groupBy(F.col("raw_t").alias("timestamp")).pivot("column", [r["column"] for r in about]).agg(sample)
+    wide = wide.toDF("timestamp", *[f"c{i}" for i in range(len(about))])
+    out = [F.col("timestamp").alias("timestamp", metadata=metadata | {"sampling_interval_ms": str(interval_ms)})]
+    for i, r in enumerate(about):
+        name, at = f"{r['metric']}/{i}", F.col(f"c{i}")
+        meta = dict(r["labels"]) | {"metric": r["metric"], "metric_type": r["kind"]}
+        if r["kind"] == "histogram":
+            meta |= {"grouping_power": str(r["p"]), "max_value_power": str(r["n"])}
+        if r["kind"] != "histogram":
+            out.append(at["v"].alias(name, metadata=meta))
+        elif sparse:
+            out.append(F.transform(at["buckets"], lambda b: b["idx"].cast("long")).alias(name + INDICES, metadata=meta))
+            out.append(F.transform(at["buckets"], lambda b: b["cnt"]).alias(name + COUNTS))
+        else:
+            out.append(_dense(at["buckets"], h2.total_buckets(r["p"], r["n"])).alias(name + BUCKETS, metadata=meta))
+        if r["windowed"]:
+            out.append((at["w_begin"] - F.col("timestamp")).alias(name + BEGIN))
+            out.append((at["w_end"] - at["w_begin"]).alias(name + WIDTH))
+    wide.select(*out).orderBy("timestamp").write.mode("overwrite").parquet(path)
