@@ -365,3 +365,29 @@ _add(
     f"""WITH w AS (SELECT k, t - t % {6 * HOUR} AS w, avg(v) AS v FROM ({TYPE_VALUE}) GROUP BY ALL)
 SELECT k AS event_type, w AS t, {near_sql('v')} FROM w WHERE w + {6 * HOUR} <= (SELECT max({NS}) FROM events) - {_LATE * SECOND}""",
 )
+
+
+def _gauge(s: SparkSession, d: str) -> DataFrame:
+    e = _stream(s, d, "events").select(F.col("event_type").alias("series"), P.nanos("ts").alias("t"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    return live.run_through(live.grid_last(e, STEP), new_folder(s, "gauges")).select(F.col("series").alias("event_type"), "t", "v")
+
+
+_add(
+    "stream_gauge_last",
+    _gauge,
+    f"WITH {last_sql(TYPE_VALUE, 'g', STEP, START, END)} SELECT g.k AS event_type, g.t, g.v FROM g JOIN (SELECT event_type AS k, max({NS}) AS m FROM events GROUP BY k) USING (k) WHERE g.t < m",
+)
+
+
+def _live_histogram(s: SparkSession, d: str) -> DataFrame:
+    folder = new_folder(s, "histograms")
+    P.order_price(s, d).select("series", "t", "buckets").write.parquet(f"{folder}/in")
+    rows = s.readStream.schema("series string, t long, buckets array<struct<idx:int,cnt:bigint>>").parquet(f"{folder}/in")
+    return live.run_through(live.histogram_events(rows), f"{folder}/run").groupBy("t", "idx").agg(F.sum("cnt").alias("cnt"))
+
+
+_add(
+    "stream_histogram_events",
+    _live_histogram,
+    f"WITH {Q.hist_sql(Q._O_FIRST, Q._O_LAST)} SELECT t, idx::INTEGER AS idx, sum(cnt)::BIGINT AS cnt FROM e GROUP BY t, idx",
+)

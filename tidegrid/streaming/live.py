@@ -1,9 +1,10 @@
-"""Live samples: appended to a table as they come, and rates kept up to date series by series."""
+"""Live samples: appended to a table as they come; rates, last values and histograms kept up to date by series."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,52 +24,130 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(*partition_by).outputMode("append")
 
 
-def _advance(step: int, held: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[tuple[int, float]]]:
-    """(state, [(tick, rate)]) after the samples ``rows`` (t, v), sorted by t.
+def _advance(step: int, held: tuple | None, rows: pd.DataFrame) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(state, ticks, rates) after the samples ``rows`` (t, v), sorted by t.
 
     state: the last sample's time and value, the increase so far, and the last tick with the increase there.
     """
-    out = []
-    t0, v0, cum, k0, at0 = held if held is not None else (None, 0, 0.0, None, 0.0)
-    for t, v in zip(rows["t"].tolist(), rows["v"].tolist()):
-        if t0 is None:
-            t0, v0 = t, v
-            if t % step == 0:
-                k0, at0 = t // step, 0.0
-            continue
-        if t < t0:
-            continue  # later than the series has been evaluated
-        gain = float(v - v0 if v >= v0 else v)
-        for k in range(t0 // step + 1, t // step + 1):
-            here = cum + gain * ((k * step - t0) / (t - t0))
-            if k0 == k - 1:
-                out.append((k * step, (here - at0) / (step / SECOND)))
-            k0, at0 = k, here
-        t0, v0, cum = t, v, cum + gain
-    return (t0, v0, cum, -1 if k0 is None else k0, at0), out
-
-
-def grid_rate(stream: DataFrame, step: int) -> DataFrame:
+    t, v = rows["t"].to_numpy(np.int64), rows["v"].to_numpy(np.int64)
+    if held is None:
+        t0, v0, cum0, k0, at0 = int(t[0]), int(v[0]), 0.0, int(t[0]) // step if t[0] % step == 0 else None, 0.0
+        t, v = t[1:], v[1:]
+    else:
+        t0, v0, cum0, k0, at0 = held
+    v, t = v[t >= t0], t[t >= t0]  # earlier ones are later than the series has been evaluated
+    if not len(t):
+        return (t0, v0, cum0, k0, at0), np.zeros(0, np.int64), np.zeros(0)
+    times, before = np.r_[t0, t], np.r_[v0, v[:-1]]
+    cum = np.cumsum(np.r_[cum0, np.where(v >= before, v - before, v).astype(float)])
+    ticks = np.arange(t0 // step + 1, t[-1] // step + 1)
+    at = np.searchsorted(times, ticks * step)  # the first sample at or behind each tick
+    gap = (ticks * step - times[at - 1]) / np.maximum(times[at] - times[at - 1], 1)
+    here = cum[at - 1] + gap * (cum[at] - cum[at - 1])
+    known = np.r_[at0, here[:-1]] if len(ticks) else here
+    out = np.ones(len(ticks), bool)
+    if len(ticks) and k0 != ticks[0] - 1:
+        out[0] = False
+    if len(ticks):
+        k0, at0 = int(ticks[-1]), float(here[-1])
+    return (int(t[-1]), int(v[-1]), float(cum[-1]), k0, at0), ticks[out] * step, (here - known)[out] / (step / SECOND)
+
+
+def _timed(stream: DataFrame, idle_seconds: int | None) -> tuple[DataFrame, str]:
+    """``stream`` with a watermark, if series that fall silent are to be forgotten, and the kind of timeout for that."""
+    if idle_seconds is None:
+        return stream, GroupStateTimeout.NoTimeout
+    at = F.timestamp_micros(F.expr("t div 1000"))
+    return stream.withColumn("at", at).withWatermark("at", f"{idle_seconds} seconds"), GroupStateTimeout.EventTimeTimeout
+
+
+def _keep(state: GroupState, held: tuple, last: int, idle_seconds: int | None) -> None:
+    state.update(held)
+    if idle_seconds is not None:
+        state.setTimeoutTimestamp(max(last // 1_000_000 + idle_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
+
+
+def grid_rate(stream: DataFrame, step: int, idle_seconds: int | None = None) -> DataFrame:
     """series, t, v: the rate over each step, as soon as a sample at or behind its end arrives.
 
-    ``stream``: series string, t long (ns), v long. The state of a series is five numbers. Samples earlier
-    than the series' last are late and dropped; for batches in order the result is that of the batch operator.
+    ``stream``: series string, t long (ns), v long. The state of a series is five numbers; with
+    ``idle_seconds`` it is forgotten once the watermark is so far behind its last sample, and the series starts
+    anew. Samples earlier than the series' last are late and dropped; for batches in order the result is that
+    of the batch operator. The rows that a micro-batch has of a series are in one task's memory.
     """
+    timed, timeout = _timed(stream, idle_seconds)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else None
         if held is not None:
             held = (*held[:3], None if held[3] < 0 else held[3], held[4])
-        rows = pd.concat(list(batches)).sort_values(["t", "v"])
-        held, out = _advance(step, held, rows)
-        state.update(held)
-        yield pd.DataFrame({"series": key[0], "t": [t for t, _ in out], "v": [v for _, v in out]}, columns=["series", "t", "v"])
+        held, ticks, rates = _advance(step, held, pd.concat(list(batches)).sort_values(["t", "v"]))
+        _keep(state, (*held[:3], -1 if held[3] is None else held[3], held[4]), held[0], idle_seconds)
+        yield pd.DataFrame({"series": key[0], "t": ticks, "v": rates}, columns=["series", "t", "v"])
 
-    return stream.select("series", "t", "v").groupBy("series").applyInPandasWithState(
-        update, "series string, t long, v double", "t long, v long, cum double, k long, at double", "append", GroupStateTimeout.NoTimeout
+    return timed.groupBy("series").applyInPandasWithState(
+        update, "series string, t long, v double", "t long, v long, cum double, k long, at double", "append", timeout
     )
 
 
+def grid_last(stream: DataFrame, step: int, interval: int = SECOND, idle_seconds: int | None = None) -> DataFrame:
+    """series, t, v: a gauge's last value at each tick, no older than the larger of step and interval.
+
+    A tick's value is given out as soon as a later sample arrives. ``stream``, state and late samples are as for
+    ``grid_rate``; the state is one sample.
+    """
+    stale = max(step, interval)
+    timed, timeout = _timed(stream, idle_seconds)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        t, v = rows["t"].to_numpy(np.int64), rows["v"].to_numpy(np.int64)
+        if state.exists:
+            t0, v0 = state.get
+            t, v = np.r_[t0, t[t >= t0]], np.r_[v0, v[t >= t0]]
+        _keep(state, (int(t[-1]), int(v[-1])), int(t[-1]), idle_seconds)
+        first, end = -(-t[:-1] // step), np.minimum(t[1:] - 1, t[:-1] + stale) // step
+        n = np.maximum(0, end - first + 1)
+        k = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pd.DataFrame({"series": key[0], "t": k * step, "v": np.repeat(v[:-1], n).astype(float)}, columns=["series", "t", "v"])
+
+    return timed.groupBy("series").applyInPandasWithState(update, "series string, t long, v double", "t long, v long", "append", timeout)
+
+
+def histogram_events(stream: DataFrame, idle_seconds: int | None = None) -> DataFrame:
+    """series, t, idx, cnt: the events of each bucket at each tick of cumulative histograms.
+
+    ``stream``: series string, t long (ns), buckets array<struct<idx int, cnt long>>. The state is a series' last
+    buckets; a series' first tick has no events. Late ticks and silent series are as for ``grid_rate``.
+    """
+    timed, timeout = _timed(stream, idle_seconds)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("t")
+        at, was = (state.get[0], dict(zip(state.get[1], state.get[2]))) if state.exists else (None, {})
+        out = []
+        for t, buckets in zip(rows["t"].tolist(), rows["buckets"]):
+            now = {int(b["idx"]): int(b["cnt"]) for b in buckets}
+            if at is None or t > at:
+                if at is not None:
+                    out += [(t, i, n - was.get(i, 0)) for i, n in now.items() if n > was.get(i, 0)]
+                at, was = t, now
+        _keep(state, (at, list(was), list(was.values())), at, idle_seconds)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["series", "t", "idx", "cnt"])
+
+    held = "t long, idx array<int>, cnt array<long>"
+    return timed.groupBy("series").applyInPandasWithState(update, "series string, t long, idx int, cnt long", held, "append", timeout)
+
+
 def windowed_mean(stream: DataFrame, width_seconds: int, late_seconds: int) -> DataFrame:
     """series, start, v: means over tumbling windows; samples later than the watermark are dropped."""
     at = F.timestamp_micros(F.expr("t div 1000"))
