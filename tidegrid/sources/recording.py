@@ -188,14 +188,14 @@ def _long_rows(spark: SparkSession, rec: Recording, kinds: set[str], metric: str
         p, n = c.powers or (None, None)
         entries.append(
             F.struct(
-                F.lit(c.metric).alias("metric"), F.lit(c.kind).alias("kind"), labels.alias("labels"), *value,
+                F.lit(c.metric).alias("metric"), F.lit(c.kind).alias("kind"), labels.alias("labels"), L.canonical(labels).alias("series"), *value,
                 F.when(F.lit(known), w_begin).alias("w_begin"), F.when(F.lit(known), w_end).alias("w_end"),
                 F.lit(p).cast("int").alias("p"), F.lit(n).cast("int").alias("n"),
             )
         )
     rows = wide.select("raw_t", F.explode(F.array(*entries)).alias("_s")).select("raw_t", "_s.*")
     rows = rows.where(F.col("v").isNotNull() | (F.col("kind") == "histogram"))
-    return rows.withColumns({"t": _snapped(F.col("raw_t"), rec.interval_ns), FILE: F.lit(rec.file_id), "series": L.canonical(F.col("labels"))})
+    return rows.withColumns({"t": _snapped(F.col("raw_t"), rec.interval_ns), FILE: F.lit(rec.file_id)})
 
 
 def long_table(spark: SparkSession, recordings: list[Recording], kinds: tuple[str, ...] = ("counter", "gauge", "histogram"), metric: str | None = None) -> DataFrame:
