@@ -1,8 +1,8 @@
 """Mixing sources to target weights along a time-varying curriculum, in DataFrame functions alone.
 
 Training time runs from 0 to 1. A source's weight follows a schedule; its integral, scaled to the source's
-target, is the cumulative demand for its words. The source's documents, in the order of their ids' MD5 and repeated
-pass after pass, supply words; a copy is trained on when the demand reaches its middle, so its position is the
+target, is the cumulative demand for its words. The source's documents, in the order of the MD5 of id and text and
+repeated pass after pass, supply words; a copy is trained on when the demand reaches its middle, so its position is the
 inverse of the demand there, and words that the demand never reaches aren't taken.
 """
 
@@ -67,16 +67,15 @@ def _laid(docs: DataFrame, keep: list[str], id_col: str, schedules: dict[int, tu
     A source's documents are laid end to end in buckets of the order, each in a window of its own.
     """
     schedules = SCHEDULES if schedules is None else schedules
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     content = F.md5(F.coalesce("text", F.lit("")))
-    # The first 28 bits, so that buckets lie in the order; rows of one id are told apart by their text.
+    order = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), content))
+    # The first 28 bits, so that buckets lie in the order; many rows of one id, or of one text, are in many buckets.
     digits = F.conv(F.substring(order, 1, 7), 16, 10).cast("long")
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col("source").alias("source"),
         count_words(F.col("text")).alias("size"),
         order.alias("_h"),
-        content.alias("_h2"),
         digits.alias("_digits"),
     )
     if "text" not in keep:
@@ -91,7 +90,7 @@ def _laid(docs: DataFrame, keep: list[str], id_col: str, schedules: dict[int, tu
     offsets = offsets.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     offsets = cut(offsets.withColumnRenamed("_bucket", "_b"), "mix-offsets")
 
-    within = Window.partitionBy("source", "_bucket").orderBy("_h", "_h2", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_bucket").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = sized.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     laid = laid.withColumn("_at", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     # The words of the j-th pass over a document that lie below the target.
@@ -127,7 +126,7 @@ def curriculum(
     copies: array<struct<position, words>>, none to MAX_EPOCHS, the training time of each copy taken and its
     words below the target; only the last copy that a source gives may be less than whole, so a source's
     taken words are its target, rounded. taken: the words of all copies. The order within a source is that
-    of the id's MD5, then of the text's, so reruns agree. schedules: by weight, as in SCHEDULES, the default.
+    of the MD5 of id and text, so reruns agree. schedules: by weight, as in SCHEDULES, the default.
 
     keep: the columns to carry along (by default doc_id alone); where one has the name of a column made here,
     that gets mix_ before its name, as often as needed. Null texts have size 0 and are never taken; texts of

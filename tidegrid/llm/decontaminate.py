@@ -50,8 +50,8 @@ def _doc_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("_h"), raw_words(F.col("text")).alias("_w"))
 
 
-def _keyed(rows: DataFrame, singles: bool) -> DataFrame:
-    """``rows`` with ``_keys``: the hashes of the shingles of ``_w``, and behind them, if ``singles``, of its words.
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_keys``: the hashes of the shingles of ``_w``, and behind them of its words.
 
     For hashing, words are lower-cased by all of Unicode, which merges no fewer.
     """
@@ -59,20 +59,22 @@ def _keyed(rows: DataFrame, singles: bool) -> DataFrame:
     n = F.greatest(F.size("_l") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("_l", F.lit(1), n), F.slice("_l", F.lit(2), n), lambda x, y: F.xxhash64(x, y))
     alone = F.transform("_l", lambda x: F.xxhash64(x))
-    return low.withColumn("_keys", F.concat(pairs, alone) if singles else pairs).drop("_l")
+    return low.withColumn("_keys", F.concat(pairs, alone)).drop("_l")
 
 
 def _exploded(docs: DataFrame, singles: bool) -> DataFrame:
-    """A row per document shingle, and word if ``singles``: doc_id, _h, _w, _key and its place _at."""
-    rows = _keyed(_doc_words(docs), singles).select("doc_id", "_h", "_w", F.posexplode("_keys").alias("_pos", "_key"))
-    n = F.greatest(F.size("_w") - 1, F.lit(0))
-    return rows.select("doc_id", "_h", "_w", "_key", F.when(F.col("_pos") < n, F.col("_pos")).otherwise(F.col("_pos") - n).alias("_at"))
+    """A row per document shingle, and word if ``singles``: doc_id, _h, _w, _key (as of ``_keyed``) and its place _at."""
+    rows = _doc_words(docs).select("doc_id", "_h", "_w", F.posexplode("_w").alias("_at", "_word"))
+    following = F.get("_w", F.col("_at") + 1)
+    pair = F.when(following.isNotNull(), F.xxhash64(F.lower("_word"), F.lower(following)))
+    key = F.explode(F.array(pair, F.xxhash64(F.lower("_word")))) if singles else pair
+    return rows.select("doc_id", "_h", "_w", "_at", key.alias("_key")).where(F.col("_key").isNotNull())
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, singles: bool) -> DataFrame:
     """Each window (text, n words) with its rarest shingle over all documents: _key, and its place _off."""
     each = wins.select("text", F.size("words").alias("n"), F.col("words").alias("_w")).dropDuplicates(["text"])
-    each = _keyed(each, True).drop("_w").select("text", "n", F.posexplode("_keys").alias("_off", "_key"))
+    each = _keyed(each).drop("_w").select("text", "n", F.posexplode("_keys").alias("_off", "_key"))
     each = cut(each.where((F.col("n") == 1) | (F.col("_off") < F.col("n") - 1)), "decon-shingles")
     vocabulary = each.select("_key").distinct()
     met = _exploded(docs, singles).select("_key")

@@ -39,10 +39,24 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
 
-def rolled(words: list[bytes], k: int) -> np.ndarray:
-    """The hash of each k-gram, made of its words' hashes."""
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = max(0, len(words) - k + 1)
+class Hashes(dict):
+    """The hash of each word, kept for the words met again; emptied when it gets large."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def rolled(each: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k-gram of words with the hashes ``each``."""
+    n = max(0, len(each) - k + 1)
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = (out * _FACTOR) + (each[i : i + n] ^ (out >> np.uint64(29)))
@@ -74,11 +88,15 @@ def _scanner(lengths: list[int]):
     """Rows of the hashes of all grams: those of the first length by place, then those of the next, and so on."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.iloc[i : i + 256]
                 texts = [words_of(t) for t in part["text"]]
-                grams = [np.concatenate([rolled(w, k) for k in lengths]).view(np.int64) for w in texts]
+                each = np.concatenate([hashes.of(w) for w in texts])
+                whole = [(k, rolled(each, k).view(np.int64)) for k in lengths]  # those across two texts aren't used
+                ends = np.cumsum([len(w) for w in texts]).tolist()
+                grams = [np.concatenate([h[end - len(w) : max(end - len(w), end - k + 1)] for k, h in whole]) for w, end in zip(texts, ends)]
                 yield part.drop(columns="text").assign(n_words=[len(w) for w in texts], grams=pd.Series(grams, part.index, object))
 
     return scan
@@ -124,10 +142,10 @@ def merged_diagonals(docs: DataFrame, known: list[tuple[list[bytes], str, bool]]
     """
     spark = docs.sparkSession
     lengths = sorted({_gram(w, base) for w, _, base in known})
-    places = []
+    places, hashes = [], Hashes()
     for i, (words, _, base) in enumerate(known):
         k = _gram(words, base)
-        places += [(i, base, at, k, len(words), int(h)) for at, h in enumerate(rolled(words, k).view(np.int64))]
+        places += [(i, base, at, k, len(words), int(h)) for at, h in enumerate(rolled(hashes.of(words), k).view(np.int64))]
     table = spark.createDataFrame(places, "template int, base boolean, place int, k int, size int, gram long")  # MAX_TEMPLATE_WORDS at most
     read = docs.mapInPandas(_scanner(lengths), "doc_id long, h long, n_words int, grams array<long>")
     votes = read.select("doc_id", "h", "n_words", F.posexplode("grams").alias("_pos", "gram")).join(F.broadcast(table), "gram")

@@ -29,8 +29,8 @@ BITS_PER_LINE, PREFIX_LINES, MIN_LOG_PREFIXES = 16, 1 << 25, 6
 MIN_LOG_BITS, MAX_LOG_BITS = 19, 30
 #: Bytes of that filter that are merged at a time.
 SEGMENT = 1 << 16
-#: Hashes that a scan task holds before it sends them.
-HELD = 1 << 20
+#: Hashes that a scan task holds before it sends them, and rows that are worked on at a time.
+HELD, ROWS = 1 << 18, 256
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -178,13 +178,13 @@ def _suspected(seen: Bloom, texts: list[str | None]) -> list[list[tuple[bytes, l
 
 
 def _batched(shared, log_bits: int, make):
-    """``make`` of 256 rows at a time and what is suspected in each."""
+    """``make`` of ROWS rows at a time and what is suspected in each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Bloom(log_bits, shared.value)
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
+            for i in range(0, len(batch), ROWS):
+                part = batch.iloc[i : i + ROWS]
                 made = make(part, _suspected(seen, part["text"].tolist()))
                 if len(made):
                     yield made
@@ -210,14 +210,16 @@ def _touched(part: pd.DataFrame, found: list) -> pd.DataFrame:
 
 def _drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        kept, n_lines, n_dropped = [], [], []
-        for text, drops in zip(batch["text"], batch["drops"]):
-            lines = (text or "").split("\n")
-            gone = set() if drops is None else set(drops)
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone))
-            kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text or "")
-        yield batch[["doc_id", "no_id"]].assign(kept=kept, n_lines=n_lines, n_dropped=n_dropped)
+        for i in range(0, len(batch), ROWS):
+            part = batch.iloc[i : i + ROWS]
+            kept, n_lines, n_dropped = [], [], []
+            for text, drops in zip(part["text"], part["drops"]):
+                lines = (text or "").split("\n")
+                gone = set() if drops is None else set(drops)
+                n_lines.append(len(lines))
+                n_dropped.append(len(gone))
+                kept.append("\n".join([x for j, x in enumerate(lines) if j not in gone]) if gone else text or "")
+            yield part[["doc_id", "no_id"]].assign(kept=kept, n_lines=n_lines, n_dropped=n_dropped)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

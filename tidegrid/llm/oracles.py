@@ -37,7 +37,7 @@ x AS (SELECT k.*, coalesce(f.first < k.doc_id, FALSE) AS gone FROM k LEFT JOIN f
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM x GROUP BY doc_id"""
 
-MIXING = """WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null')) AS h, md5(coalesce(text, '')) AS h2,
+MIXING = """WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, ''))) AS h,
   len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size * 3 AS full_, (source_size * 3)::DOUBLE / weight AS ratio FROM s),
@@ -46,7 +46,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(full_) OVER (o ROWS BET
   FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
 t AS (SELECT source, source_size, weight, least(full_::DOUBLE, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY i LIMIT 1), 0.0) * weight) AS target FROM l),
 p AS (SELECT doc_id, size, source_size, target, weight, round(target)::BIGINT AS goal,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, h2, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 w AS (SELECT *, greatest(least(size, goal - pos), 0) AS w1, greatest(least(size, goal - pos - source_size), 0) AS w2,
     greatest(least(size, goal - pos - 2 * source_size), 0) AS w3 FROM p),
