@@ -67,7 +67,7 @@ def test_near_dedup_of_a_crowd_with_a_common_passage(spark, documents, monkeypat
     kept = stage("simhash_near_dedup")(spark, documents(texts), SMALL)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
     # Where nothing is linked yet, the prefix join finds every similar pair of a crowd, but not all pairs.
-    classes = documents(texts).select("doc_id", shingles.sketch("text").alias("_s")).select("doc_id", "_s.*").cache()
+    classes = shingles.sketches(documents(texts)).cache()
     named = {r["class"]: r["doc_id"] for r in classes.collect()}
     nothing = spark.createDataFrame([], "node long, root long")
     found = {frozenset((named[r["a"]], named[r["b"]])) for r in shingles._apart(shingles._sharing(classes), classes, nothing).collect()}

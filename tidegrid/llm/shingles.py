@@ -12,12 +12,13 @@ are ordered by how few of these classes hold them, and any two at SIMILARITY sha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tidegrid.llm import simhash
 from tidegrid.llm.common import cut, join_counted
@@ -26,7 +27,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: A key with more classes of texts isn't expanded into pairs.
 CROWDED = 32
-SKETCH = StructType().add("class", LongType()).add("fp", LongType()).add("shingles", ArrayType(LongType())).add("bands", ArrayType(LongType()))
+SKETCH = "class long, fp long, shingles array<long>, bands array<long>"
+#: Rows that are sketched at a time.
+ROWS_AT_A_TIME = 128
 #: Shingles whose minima are taken at a time.
 CHUNK = 2_048
 
@@ -50,15 +53,28 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(31))) * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
 
-@F.pandas_udf(SKETCH)
-def sketch(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x in texts:
-        data = (x or "").encode()
-        hashes = shingle_hashes(data)
-        words = np.uint64(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), simhash.SEED))
-        rows.append((words.view(np.int64), np.uint64(simhash.fingerprint_bytes(data)).view(np.int64), hashes.view(np.int64), band_keys(hashes).view(np.int64)))
-    return pd.DataFrame(rows, columns=["class", "fp", "shingles", "bands"])
+def _sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(class, fp, shingles, bands) of a text; class: the hash of its words."""
+    data = (text or "").encode()
+    hashes = shingle_hashes(data)
+    words = np.uint64(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), simhash.SEED))
+    fp = np.uint64(simhash.fingerprint_bytes(data))
+    return words.view(np.int64), fp.view(np.int64), hashes.view(np.int64), band_keys(hashes).view(np.int64)
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), ROWS_AT_A_TIME):
+            part = batch.iloc[i : i + ROWS_AT_A_TIME]
+            made = pd.DataFrame([_sketch(t) for t in part["text"]], part.index, ["class", "fp", "shingles", "bands"])
+            yield pd.concat([part.drop(columns="text"), made], axis=1)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """_row (the row_key), doc_id, no_id, class, fp, shingles and bands of every row; some rows at a time in memory."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(row_key().alias("_row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), "text")
+    return rows.mapInPandas(_sketched, f"_row string, doc_id long, no_id boolean, {SKETCH}")
 
 
 def _sharing(classes: DataFrame) -> DataFrame:
@@ -128,8 +144,8 @@ def row_key() -> Column:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """_row: the row_key of the first row, by doc_id, of each component of near-duplicates."""
-    rows = cut(docs.select(row_key().alias("_row"), "doc_id", sketch("text").alias("_s")).select("_row", "doc_id", "_s.*"), "shingle-rows")
-    classes = cut(rows.dropDuplicates(["class"]).drop("_row", "doc_id"), "shingle-classes")
+    rows = cut(sketches(docs), "shingle-rows")
+    classes = cut(rows.dropDuplicates(["class"]).drop("_row", "doc_id", "no_id"), "shingle-classes")
     prints = cut(classes.groupBy("fp").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("_n")), "shingle-prints")
     named = join_counted(classes.select("class", "fp"), prints, "fp", "_n", classes.count())
     same = named.select(F.col("first").alias("a"), F.col("class").alias("b")).where("a <> b")
@@ -138,7 +154,7 @@ def survivors(docs: DataFrame) -> DataFrame:
         near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
     near = near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     state = linked(classes, same.unionByName(near))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_f")
+    first = F.min(F.struct("no_id", "doc_id", "_row")).alias("_f")
     per_class = rows.groupBy("class").agg(first)
     named = per_class.join(state.withColumnRenamed("node", "class"), "class", "left")
     return named.groupBy(F.coalesce("root", "class").alias("_r")).agg(F.min("_f").alias("_f")).select("_f._row")
