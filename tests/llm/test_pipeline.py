@@ -67,10 +67,13 @@ def test_near_dedup_of_a_crowd_with_a_common_passage(spark, documents, monkeypat
     kept = stage("simhash_near_dedup")(spark, documents(texts), SMALL)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
     # Where nothing is linked yet, the prefix join finds every similar pair of a crowd, but not all pairs.
-    classes = shingles.sketches(documents(texts)).cache()
+    docs = documents(texts)
+    classes = shingles.sketches(docs).cache()
     named = {r["class"]: r["doc_id"] for r in classes.collect()}
     nothing = spark.createDataFrame([], "node long, root long")
-    found = {frozenset((named[r["a"]], named[r["b"]])) for r in shingles._apart(shingles._sharing(classes), classes, nothing).collect()}
+    left = shingles._open(shingles._sharing(classes), nothing)
+    sets = shingles.sets_of(docs, classes, left.select("class"))
+    found = {frozenset((named[r["a"]], named[r["b"]])) for r in shingles._apart(left, sets).collect()}
     want = {frozenset((i, j)) for i in range(n) for j in range(i) if sims[i, j] >= 0.8}
     assert want <= found and len(found) < n * (n - 1) / 4
 

@@ -27,7 +27,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: A key with more classes of texts isn't expanded into pairs.
 CROWDED = 32
-SKETCH = "class long, fp long, shingles array<long>, bands array<long>"
+SKETCH = "class long, fp long, n int, bands array<long>"
 #: Rows that are sketched at a time.
 ROWS_AT_A_TIME = 128
 #: Shingles whose minima are taken at a time.
@@ -53,33 +53,46 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(31))) * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
 
-def _sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(class, fp, shingles, bands) of a text; class: the hash of its words."""
+def _sketch(text: str | None) -> tuple[int, int, int, np.ndarray]:
+    """(class, fp, n, bands) of a text; class: the hash of its words, n: its shingles."""
     data = (text or "").encode()
     hashes = shingle_hashes(data)
     words = np.uint64(xxhash.xxh64_intdigest(b" ".join(data.lower().split()), simhash.SEED))
     fp = np.uint64(simhash.fingerprint_bytes(data))
-    return words.view(np.int64), fp.view(np.int64), hashes.view(np.int64), band_keys(hashes).view(np.int64)
+    return words.view(np.int64), fp.view(np.int64), len(hashes), band_keys(hashes).view(np.int64)
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i in range(0, len(batch), ROWS_AT_A_TIME):
-            part = batch.iloc[i : i + ROWS_AT_A_TIME]
-            made = pd.DataFrame([_sketch(t) for t in part["text"]], part.index, ["class", "fp", "shingles", "bands"])
-            yield pd.concat([part.drop(columns="text"), made], axis=1)
+def _in_slices(make, columns: list[str]):
+    """``text`` of some rows at a time replaced by the columns that ``make`` gives for it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), ROWS_AT_A_TIME):
+                part = batch.iloc[i : i + ROWS_AT_A_TIME]
+                made = pd.DataFrame([make(t) for t in part["text"]], part.index, columns)
+                yield pd.concat([part.drop(columns="text"), made], axis=1)
+
+    return run
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """_row (the row_key), doc_id, no_id, class, fp, shingles and bands of every row; some rows at a time in memory."""
+    """_row (the row_key), doc_id, no_id, class, fp, n and bands of every row; its shingles aren't kept."""
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(row_key().alias("_row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), "text")
-    return rows.mapInPandas(_sketched, f"_row string, doc_id long, no_id boolean, {SKETCH}")
+    return rows.mapInPandas(_in_slices(_sketch, ["class", "fp", "n", "bands"]), f"_row string, doc_id long, no_id boolean, {SKETCH}")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the ``wanted`` classes alone, from the text of the row that stands for each."""
+    rows = cut(classes.join(wanted, "class", "left_semi").select("_row", "class"), "shingle-wanted")
+    texts = docs.select(row_key().alias("_row"), "text").join(rows, "_row").dropDuplicates(["class"]).select("class", "text")
+    shingled = _in_slices(lambda t: (shingle_hashes((t or "").encode()).view(np.int64),), ["shingles"])
+    return cut(texts.mapInPandas(shingled, "class long, shingles array<long>"), "shingle-sets")
 
 
 def _sharing(classes: DataFrame) -> DataFrame:
     """(key, class, n, _n, _a, _z): the keys of each class that _n > 1 classes have, and the least and greatest of these."""
-    keyed = cut(classes.select("class", F.size("shingles").alias("n"), F.explode("bands").alias("key")), "shingle-keyed")
+    keyed = cut(classes.select("class", "n", F.explode("bands").alias("key")), "shingle-keyed")
     one = F.struct("class", "n")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("_a"), F.max(one).alias("_z")).where("_n > 1")
     return cut(join_counted(keyed, cut(sizes, "shingle-keys"), "key", "_n", keyed.count()), "shingle-shared")
@@ -99,14 +112,18 @@ def _candidates(shared: DataFrame) -> DataFrame:
     return _fitting(pairs.unionByName(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))))
 
 
-def _apart(shared: DataFrame, classes: DataFrame, state: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidates in different components among the classes of crowded keys that hold several."""
+def _open(shared: DataFrame, state: DataFrame) -> DataFrame:
+    """(class, root): the classes of crowded keys that hold several components."""
     named = state.select(F.col("node").alias("class"), "root")
     rooted = shared.where(F.col("_n") > CROWDED).join(named, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     rooted = cut(rooted, "shingle-rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("key")
-    left = cut(rooted.join(open_keys, "key", "left_semi").select("class", "root").distinct(), "shingle-open")
-    held = left.join(classes.select("class", "shingles"), "class")
+    several = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("key")
+    return cut(rooted.join(several, "key", "left_semi").select("class", "root").distinct(), "shingle-open")
+
+
+def _apart(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates in different components. left: (class, root); sets: their shingles."""
+    held = left.join(sets, "class")
     each = cut(held.select("class", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "shingle-tokens")
     rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("_df"), F.min("root").alias("_a"), F.max("root").alias("_z"))
     ranked = join_counted(each, cut(rarity, "shingle-rarity"), "token", "_df", each.count())
@@ -117,22 +134,25 @@ def _apart(shared: DataFrame, classes: DataFrame, state: DataFrame) -> DataFrame
     return _fitting(met.join(other, "token").where("root <> _r"))
 
 
-def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of SIMILARITY or more, by their whole sets of shingles."""
-    sets = classes.select("class", "shingles")
     left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
     common = F.size(F.array_intersect("_a", "_b"))
-    met = cut(pairs, "shingle-pairs").join(left, "a").join(right, "b")
+    met = pairs.join(left, "a").join(right, "b")
     return met.where(common >= F.lit(SIMILARITY) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
-def linked(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root) of the components of ``edges`` (a, b) and all links at SIMILARITY. classes: class, shingles, bands."""
+def linked(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of the components of ``edges`` (a, b) and all links at SIMILARITY. classes: _row, class, n, bands."""
     shared = _sharing(classes)
-    state = simhash.components(edges.unionByName(_similar(_candidates(shared), classes)))
-    across = cut(_similar(_apart(shared, classes, state), classes), "shingle-across")
-    if across.isEmpty():
+    pairs = cut(_candidates(shared), "shingle-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    state = simhash.components(edges.unionByName(_similar(pairs, sets_of(docs, classes, met))))
+    left = _open(shared, state)
+    if left.isEmpty():
         return state
+    sets = sets_of(docs, classes, left.select("class"))
+    across = cut(_similar(cut(_apart(left, sets), "shingle-apart"), sets), "shingle-across")
     return simhash.components(state.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(across))
 
 
@@ -145,7 +165,7 @@ def row_key() -> Column:
 def survivors(docs: DataFrame) -> DataFrame:
     """_row: the row_key of the first row, by doc_id, of each component of near-duplicates."""
     rows = cut(sketches(docs), "shingle-rows")
-    classes = cut(rows.dropDuplicates(["class"]).drop("_row", "doc_id", "no_id"), "shingle-classes")
+    classes = cut(rows.groupBy("class").agg(F.min("_row").alias("_row"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "shingle-classes")
     prints = cut(classes.groupBy("fp").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("_n")), "shingle-prints")
     named = join_counted(classes.select("class", "fp"), prints, "fp", "_n", classes.count())
     same = named.select(F.col("first").alias("a"), F.col("class").alias("b")).where("a <> b")
@@ -153,7 +173,7 @@ def survivors(docs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
     near = near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    state = linked(classes, same.unionByName(near))
+    state = linked(docs, classes, same.unionByName(near))
     first = F.min(F.struct("no_id", "doc_id", "_row")).alias("_f")
     per_class = rows.groupBy("class").agg(first)
     named = per_class.join(state.withColumnRenamed("node", "class"), "class", "left")
